@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
 def key_of(col: Column) -> Column:
     """A string that is never null and differs where the values differ: for joins in which null is a value."""
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to executors that don't have it on their path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any(p.endswith("tablewright.zip") for p in sc.listFiles):
+        return
+    to = os.path.join(tempfile.mkdtemp(), "tablewright.zip")
+    with zipfile.ZipFile(to, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "tablewright")):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    sc.addPyFile(to)

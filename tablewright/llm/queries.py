@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import mixing, quality, sharding, url_filter
+from tablewright.llm import bpe, langid, mixing, quality, sharding, url_filter
 from tablewright.llm.common import cut, table
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -59,16 +59,32 @@ FROM j LEFT JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL, "op5_quality_rules": OP5_SQL}
