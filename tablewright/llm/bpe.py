@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,7 +278,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", carry: tupl
         gc.disable()  # nothing here makes cycles, and the remembered pieces are costly to look through
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            lengths = np.asarray(texts.value_lengths().fill_null(0))
+            lengths = np.asarray(pc.binary_length(texts).fill_null(0))
             begin = 0
             while begin < len(texts):
                 upto = begin + 1 + int(np.searchsorted(np.cumsum(lengths[begin + 1 :]), BLOCK_CHARS - lengths[begin], "right"))
