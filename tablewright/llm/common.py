@@ -68,3 +68,8 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
     sc.addPyFile(to)
+
+
+def sized(small: DataFrame, rows: int = 500_000) -> DataFrame:
+    """small marked for broadcast if it has no more than so many rows; else as it is, for a join by shuffle."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, jaccard_join, langid, mixing, quality, sharding, url_filter, warc
+from tablewright.llm import bpe, jaccard_join, langid, mixing, quality, sharding, suffix_dedup, url_filter, warc
 from tablewright.llm.common import cut, table
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -88,6 +88,10 @@ FROM j LEFT JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
