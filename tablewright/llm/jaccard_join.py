@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, ship
+from tablewright.llm.common import cut, ship, sized
 
 #: Classes in a tile before it is cut into bands, and documents in the sample that finds very frequent shingles.
 TILE, SAMPLE, FREQUENT = 2048, 4000, 0.005
@@ -301,3 +301,19 @@ def join_similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "
     of_class = cut(of_class.join(smallest, "comp").select("cls", "component_id", "n_links"))
     empty = signed.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return signed.where(F.col("cls").isNotNull()).join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but of each component of join_similar only the row with the smallest doc_id.
+
+    Of rows with one doc_id and one text one stays. Rows without a doc_id, and those without words, stay. Otherwise as there.
+    """
+    found = cut(join_similar(docs, k, percent, doc_id, text))
+    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    out = docs.join(sized(gone.select(F.col("doc_id").alias("__gone"))), F.col(doc_id) == F.col("__gone"), "left_anti")
+    again = cut(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return out
+    again = sized(again)
+    apart = out.join(again, F.col(doc_id) == F.col("__again"), "left_anti")
+    return apart.unionByName(out.join(again, F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id, text]))

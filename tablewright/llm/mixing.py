@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, key_of, word_count
+from tablewright.llm.common import cut, key_of, sized, word_count
 
 ROUNDS = 8
 
@@ -85,3 +85,18 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed: int
     none = sized.where("size = 0").select("doc_id", "skey", "size", F.lit(0).cast("long").alias("taken"))
     documents = rows_of.unionByName(none).join(targets.select("skey", "source", "source_size", "target"), "skey").select("doc_id", "source", "size", "source_size", "target", "taken")
     return documents, pieces, slots
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them: its words over the row's, rounded, half up.
+
+    Rows that the mix takes less than half of don't appear. Rows without words never do. Rows of one doc_id, source and size share
+    what the first of them got. Otherwise as mix().
+    """
+    documents, _, _ = mix(docs, text=text, **how)
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    times = documents.where("size > 0").select(F.col("doc_id").alias("__id"), key_of(F.col("source")).alias("__source"), F.col("size").alias("__size"), times.alias("__times"))
+    times = cut(times.dropDuplicates(["__id", "__source", "__size"]).where("__times > 0"))
+    rows = docs.withColumns({"__key": key_of(F.col("source")), "__n": word_count(F.col(text))})
+    rows = rows.join(sized(times), rows["doc_id"].eqNullSafe(times["__id"]) & (rows["__key"] == times["__source"]) & (rows["__n"] == times["__size"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WHITE, cut, key_of, let, words
+from tablewright.llm.common import WHITE, cut, key_of, let, sized, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -67,3 +67,13 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", m
     verdicts = host_verdicts(judged, "__host", max_rate)
     out = judged.withColumn("host_key", key_of(F.col("__host"))).join(verdicts.select("host_key", "shrunk_rate", "host_rejected"), "host_key", "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("host_key", "__host")
+
+
+def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that judge_documents keeps; cases as there."""
+    thin = docs.select(F.col(host).alias("__host"), F.col(text).alias("__text"))
+    verdicts = host_verdicts(cut(document_features(thin, "__text").select("__host", "base_failed")), "__host", max_rate)
+    rejected = cut(verdicts.where("host_rejected").select("host_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), key_of(F.col(host)).alias("host_key"))
+    good = document_features(rows, "__text").where(~F.col("base_failed"))
+    return good.join(sized(rejected), "host_key", "left_anti").select("__row.*")
