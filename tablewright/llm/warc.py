@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, shared_dir
+from tablewright.llm.common import cut, shared_dir, ship
 
 MAGIC, GAP = "WARC/1.0\r\n", "\r\n\r\n"
 LEAST_BYTES = 1000
@@ -101,17 +102,46 @@ def _with_offsets(pieces: DataFrame) -> DataFrame:
     return out.drop("before", "local")
 
 
+def _exits(rows: pa.Table) -> pa.Table:
+    """Of one block's candidates: where each one's chain leaves the block, null if it breaks off inside."""
+    at, nxt = rows.column("at").to_pylist(), rows.column("next").to_pylist()
+    last, to = max(at), {}
+    for x, y in sorted(zip(at, nxt, strict=True), reverse=True):
+        to[x] = to.get(y) if y <= last else y
+    return pa.table([rows.column("file").combine_chunks(), rows.column("at").combine_chunks(), pa.array([to[x] for x in at], pa.int64())], ["file", "at", "jump"])
+
+
+def _followed(rows: pa.Table) -> pa.Table:
+    """Of one block's candidates those that a chain reaches that enters the block at a marked one."""
+    at, nxt, entry = (rows.column(c).to_pylist() for c in ("at", "next", "entry"))
+    on = {x for x, e in zip(at, entry, strict=True) if e}
+    for x, y in sorted(zip(at, nxt, strict=True)):
+        if x in on:
+            on.add(y)
+    keep = [x in on for x in at]
+    return rows.select(["file", "at"]).filter(pa.array(keep, pa.bool_()))
+
+
 def reachable(links: DataFrame) -> DataFrame:
-    """Of links (file, at, next) those (file, at) that the chain from offset 0 of their file reaches, by pointer jumping.
+    """Of links (file, block, at, next) those (file, at) that the chain from offset 0 of their file reaches, by pointer jumping.
 
-    Every round each place jumps twice as far as before, and what the marked places jump to is marked.
+    Within a block of a file each task follows its candidates to where they leave the block. Of these jumps, those from offset 0 or
+    from where another jump ends take part in the rounds: in every round each place jumps twice as far as before, and what marked
+    places jump to is marked. Then each block is followed from its marked places.
     """
-    now = cut(links.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("marked")))
-    while not now.where(F.col("jump").isNotNull()).isEmpty():
+    ship(links.sparkSession)
+    jumps = cut(links.select("file", "block", "at", "next").groupBy("file", "block").applyInArrow(_exits, "file string, at long, jump long"))
+    ends = jumps.where(F.col("jump").isNotNull()).select("file", F.col("jump").alias("at")).distinct()
+    zero = jumps.where(F.col("at") == 0).select("file", "at", "jump", F.lit(True).alias("marked"))
+    now = cut(zero.unionByName(jumps.where(F.col("at") > 0).join(ends, ["file", "at"], "left_semi").withColumn("marked", F.lit(False))))
+    while not now.where(F.col("jump").isNotNull() & (F.col("at") > 0)).isEmpty():
         marks = now.where(F.col("marked") & F.col("jump").isNotNull()).select("file", F.col("jump").alias("at"), F.lit(True).alias("hit")).distinct()
         further = now.select("file", F.col("at").alias("jump"), F.col("jump").alias("jump2"))
         now = cut(now.join(marks, ["file", "at"], "left").join(further, ["file", "jump"], "left").select("file", "at", F.col("jump2").alias("jump"), (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked")))
-    return now.where("marked").select("file", "at")
+    last = now.where(F.col("marked") & F.col("jump").isNotNull()).select("file", F.col("jump").alias("at"))
+    entries = now.where("marked").select("file", "at").unionByName(last).distinct().withColumn("entry", F.lit(True))
+    followed = links.select("file", "block", "at", "next").join(entries, ["file", "at"], "left")
+    return followed.groupBy("file", "block").applyInArrow(_followed, "file string, at long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
