@@ -14,31 +14,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import cut, ship, sized
 
 GRAM = 32
 #: Positions of one gram that are compared in one task; those of more frequent grams are counted by a shuffle of their strings.
-GROUP = 4096
-PART = 4 << 20
+GROUP = 16384
+PART = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, np.uint64)
 POSITION = np.uint64((1 << 24) - 1)
 ANCHORS = "pos array<int>, f array<long>, whole array<long>, r1 array<int>, l1 array<int>, r2 array<int>, m2 array<int>, l2 array<int>"
 
 
-def _doubled(b: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Fingerprints of all strings of 1, 2, 4 ... upto bytes, by where they start."""
-    h, n = TABLE[b], 1
-    out = {1: h}
-    while n < upto:
+def _doubled(b: np.ndarray, upto: int, keep: frozenset[int] | None = None) -> dict[int, np.ndarray]:
+    """Fingerprints of all strings of 1, 2, 4 ... upto bytes, by where they start; of the lengths in keep, if given."""
+    h, n, out = TABLE[b], 1, {}
+    while True:
+        if keep is None or n in keep:
+            out[n] = h
+        if n >= upto:
+            return out
         h = h[:-n] * (MULT + np.uint64(2 * n)) + h[n:]
         h ^= h >> np.uint64(29)
         n *= 2
-        out[n] = h
-    return out
+
+
+def _powers(*lengths: int) -> frozenset[int]:
+    return frozenset(1 << k for n in lengths for k in range(n.bit_length()) if n >> k & 1)
 
 
 def _of_length(d: dict[int, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
@@ -61,7 +66,7 @@ def _anchors(raw: bytes, length: int) -> np.ndarray:
         b = np.frombuffer(raw[begin : begin + PART + length - 1], np.uint8)
         if len(b) < length:
             continue
-        h = _doubled(b, GRAM)[GRAM]
+        h = _doubled(b, GRAM, frozenset((GRAM,)))[GRAM]
         m = (h * MULT & ~POSITION) | np.arange(len(h), dtype=np.uint64)
         w = length - GRAM + 1
         n = 1
@@ -76,9 +81,20 @@ def _anchors(raw: bytes, length: int) -> np.ndarray:
 
 
 def _ranks(raw: bytes, at: np.ndarray, length: int) -> list[np.ndarray]:
-    """f, whole and the ranks r1, l1, r2, m2, l2, which are 0 where the string doesn't lie in the text."""
-    d = _doubled(np.frombuffer(raw, np.uint8), 1 << (length.bit_length() - 1))
-    n, q, h = len(raw), length // 3, length * 5 // 8
+    """f, whole and the ranks r1, l1, r2, m2, l2, which are 0 where the string doesn't lie in the text; part by part."""
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for begin in range(0, len(raw), PART):
+        here = at[(at >= begin) & (at < begin + PART)]
+        if len(here):
+            low = max(0, begin - length)
+            for o, x in zip(out, _part_ranks(raw[low : begin + PART + length], here - low, length), strict=True):
+                o.append(x)
+    return [np.concatenate(o) for o in out]
+
+
+def _part_ranks(raw: bytes, at: np.ndarray, length: int) -> list[np.ndarray]:
+    n, q, h, size = len(raw), length // 3, length * 5 // 8, 1 << (length.bit_length() - 1)
+    d = _doubled(np.frombuffer(raw, np.uint8), size, _powers(GRAM, q, h, size))
     f = d[GRAM][at]
 
     def rank(shift: int, size: int) -> np.ndarray:
@@ -89,7 +105,6 @@ def _ranks(raw: bytes, at: np.ndarray, length: int) -> list[np.ndarray]:
         return r.astype(np.int32)
 
     lo, hi = np.maximum(0, at - (length - GRAM)), np.minimum(n, at + length)
-    size = 1 << (length.bit_length() - 1)
     whole = d[size][lo] * MULT + (hi - lo).astype(np.uint64) * np.uint64(1 << 20) + (at - lo).astype(np.uint64)
     for start in (np.minimum(lo + size, hi - size), hi - size):
         whole = (whole ^ whole >> np.uint64(30)) * (MULT + np.uint64(6)) + d[size][start]
@@ -130,19 +145,26 @@ def _round(positions: DataFrame, ranks: tuple[str, ...]) -> DataFrame:
     return cut(positions.join(hit, ["uid", "pos"], "left_semi"))
 
 
-def _starts(rows: list[tuple[bytes, int]], seeds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every string of the threshold length that holds its row's gram: the row, the distance from start to gram, a hash."""
-    flat = np.frombuffer(b"".join([r[0] for r in rows]), np.uint8)
-    sizes, offs = np.array([len(r[0]) for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    n = np.minimum(offs, sizes - length) + 1
-    row = np.repeat(np.arange(len(rows)), n)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    h = _of_length(_doubled(flat, 1 << (length.bit_length() - 1)), begin[row] + start, length)
-    i = offs[row] - start
-    h = (h ^ h >> np.uint64(27)) * MULT + i.astype(np.uint64) * (MULT + np.uint64(10))
-    h = (h ^ h >> np.uint64(31)) * (MULT + np.uint64(2)) + seeds[row]
-    return row, i, h ^ h >> np.uint64(29)
+def _starts(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every string of the threshold length that holds its row's gram: the row, the distance from start to gram, a hash.
+    rows: f, uid, pos, n, off, ctx."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    for first in range(0, len(rows), 1024):
+        part = rows[first : first + 1024]
+        seeds = np.array([r[0] for r in part], np.int64).view(np.uint64) * MULT
+        flat = np.frombuffer(b"".join([r[5] for r in part]), np.uint8)
+        sizes, offs = np.array([len(r[5]) for r in part], np.int64), np.array([r[4] for r in part], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        n = np.minimum(offs, sizes - length) + 1
+        row = np.repeat(np.arange(len(part)), n)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        h = _of_length(_doubled(flat, 1 << (length.bit_length() - 1), _powers(length)), begin[row] + start, length)
+        i = offs[row] - start
+        h = (h ^ h >> np.uint64(27)) * MULT + i.astype(np.uint64) * (MULT + np.uint64(10))
+        h = (h ^ h >> np.uint64(31)) * (MULT + np.uint64(2)) + seeds[row]
+        for o, x in zip(out, ((row + first).astype(np.int32), i.astype(np.int32), h ^ h >> np.uint64(29)), strict=True):
+            o.append(x)
+    return tuple(np.concatenate(o) for o in out)
 
 
 def _runs(row: np.ndarray, i: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,16 +179,15 @@ def _runs(row: np.ndarray, i: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     return row[at], s[at], s[last] + length
 
 
-def _compared(contexts: DataFrame, length: int) -> DataFrame:
+def _compared(few: DataFrame, many: DataFrame | None, length: int) -> DataFrame:
     """uid, s, e: the bytes of the once-only contexts that a string found in another context of the same gram covers."""
-    few, many = contexts.where(F.col("c") <= GROUP), contexts.where(F.col("c") > GROUP)
     fields = ["f", "uid", "pos", "n", "off", "ctx"]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
         for batch in batches:
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if len(held) >= 2 * GROUP and held[-1][0] != r[0]:
+                if len(held) >= 4096 and held[-1][0] != r[0]:
                     yield held
                     held = []
                 held.append(r)
@@ -175,8 +196,7 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches):
-            seeds = np.array([r[0] for r in rows], np.int64).view(np.uint64) * MULT
-            row, i, h = _starts([(r[5], r[4]) for r in rows], seeds, length)
+            row, i, h = _starts(rows, length)
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             twice = np.zeros(len(h), bool)
@@ -189,16 +209,18 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
 
     out = few.select(*fields).repartition(F.col("f")).sortWithinPartitions("f").mapInArrow(within, "uid long, s long, e long")
 
+    if many is None:
+        return out
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches):
-            seeds = np.array([r[0] for r in rows], np.int64).view(np.uint64) * MULT
-            row, i, h = _starts([(r[5], r[4]) for r in rows], seeds, length)
+        for rows in (x[k : k + 1024] for x in groups(batches) for k in range(0, len(x), 1024)):
+            row, i, h = _starts(rows, length)
             uid, pos = np.array([r[1] for r in rows], np.int64)[row], np.array([r[2] for r in rows], np.int64)[row]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uid), pa.array(pos - i), pa.array(np.array([r[3] == 1 for r in rows])[row])], ["h", "uid", "s", "once"])
 
     strings = many.select(*fields).mapInArrow(each, "h long, uid long, s long, once boolean")
-    again = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return out.unionByName(strings.where("once").join(again, "h", "left_semi").select("uid", "s", (F.col("s") + length).alias("e")))
+    twice = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("once and n > 1")
+    return out.unionByName(twice.select("uid", "s", (F.col("s") + length).alias("e")))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -222,12 +244,15 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     known = repeat.select("uid", F.greatest(F.lit(0), F.col("pos") - (length - GRAM)).cast("long").alias("s"), F.least("n_bytes", F.col("pos") + length).alias("e"))
 
     mixed = classes.groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("f", "c")
-    asked = classes.join(mixed, "f").select("f", "n", "c", "one.uid", "one.pos").join(meta.select("uid", "doc_id", "sha"), "uid")
-    asked = cut(asked.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("f", "n", "c", "uid", "pos")).alias("asked")))
-    texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(sized(asked, 100_000), F.col("id").eqNullSafe(F.col("doc_id"))).select("sha", "asked", "text")
+    wanted = cut(classes.join(mixed, "f").select("f", "n", "c", "one.uid", "one.pos").join(meta.select("uid", "doc_id", "sha"), "uid"))
+
+    def contexts_of(places: DataFrame) -> DataFrame:
+        asked = cut(places.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("f", "n", "c", "uid", "pos")).alias("asked")))
+        texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(sized(asked, 100_000), F.col("id").eqNullSafe(F.col("doc_id"))).select("sha", "asked", "text")
+        return texts_of.mapInArrow(contexts, "f long, n long, c long, uid long, pos long, off long, ctx binary")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             out: list[tuple] = []
             for sha, places, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if hashlib.sha256(raw or b"").hexdigest() != sha:
@@ -239,8 +264,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f", "n", "c", "uid", "pos", "off", "ctx"])
 
-    found = texts_of.mapInArrow(contexts, "f long, n long, c long, uid long, pos long, off long, ctx binary")
-    spans = known.unionByName(_compared(found, length)).groupBy("uid").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    large = wanted.where(F.col("c") > GROUP)
+    many = None if large.isEmpty() else contexts_of(large)
+    spans = known.unionByName(_compared(contexts_of(wanted.where(F.col("c") <= GROUP)), many, length)).groupBy("uid").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("spans"))
     alone = spans.join(meta, "uid").join(copied.select("uid"), "uid", "left_anti").select("doc_id", "sha", "spans")
     full = copied.where(F.col("n_bytes") >= length).select("doc_id", "sha", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e"))).alias("spans"))
     return meta, cut(alone.unionByName(full).dropDuplicates(["doc_id", "sha"]))
@@ -281,7 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     rows = rows.join(small, (F.col("__sha") == F.col("sha")) & F.col("__id").eqNullSafe(F.col("d")), "left").select("__carry", "__sha", "spans", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             made: dict[str, list] = {k: [] for k in outputs}
             for sha, cuts, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 kept, removed, runs = without(raw, cuts) if cuts else (raw, 0, 0)
