@@ -3,19 +3,19 @@ numpy, and calibrated rejection."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import ship
 
 BUCKETS, DIM = 1 << 14, 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Of a document's subwords at most so many are hashed at once; longer texts are worked through in parts, whole.
 PART = 1 << 20
 

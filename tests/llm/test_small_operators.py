@@ -149,7 +149,8 @@ def test_neighbours(spark):
         s = x.astype(np.float64) @ x[q].astype(np.float64)
         best = [i for i in np.lexsort((np.arange(1500), -s)) if i != q][:20]
         assert sorted(found) == list(range(1, 21)) and all(abs(s[v] - score) < 1e-12 for v, score in found.values())
-        assert [v for _, v in sorted(found.items())] == sorted([v for v, _ in found.values()], key=lambda v: (-found[[k for k in found if found[k][0] == v][0]][1], v))
+        order = [found[k] for k in range(1, 21)]
+        assert order == sorted(order, key=lambda p: (-p[1], p[0]))
         hits += len(set(best) & {v for v, _ in found.values()})
     assert hits / (20 * len(by)) >= 0.9
     few = ann.nearest(spark.createDataFrame(rows[:3] + [(20, [1.0] * 24)], "vec_id long, embedding array<float>")).collect()
