@@ -4,7 +4,7 @@ Documents with equal shingle sets are one class. Two classes that are similar en
 an order common to all documents that puts very frequent shingles last. The classes that share such a shingle form a tile; tiles of
 many classes are cut into bands of set size. Within a tile, hashed bitmaps bound the overlap of two sets from above: bits of one
 that the other lacks are elements that it lacks. Pairs that pass are compared exactly, by intersecting the sorted sets. First each
-class meets one partner in each tile; then, of the pairs that pass, only those whose components still differ.
+class meets its likeliest partner; then, of the pairs that pass, only those whose components still differ.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import cut, ship, sized
 
 #: Classes in a tile before it is cut into bands, and documents in the sample that finds very frequent shingles.
-TILE, SAMPLE, FREQUENT = 2048, 4000, 0.005
+TILE, SAMPLE, FREQUENT = 4096, 4000, 0.005
+#: Classes in a tile from which on its pairs are looked for in the first tile that they share only.
+LARGE = 64
 #: A list of so many ids at most (8 bytes each) is sent to all executors; a longer one is joined by shuffle.
 BROADCAST_IDS = 500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
@@ -29,7 +32,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -67,10 +70,11 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, cls (a hash of the set, null for an empty one), first (the shingles that a partner must share one of), bits."""
+    """uid (of the row), doc_id, n, cls (a hash of the set, null for an empty one), first (the shingles that a partner must share one of), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        uid = TaskContext.get().partitionId() << 33
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             n, cls, first, bits = [], [], [], []
             for text in _texts(batch):
                 s = shingle_set(text, k)
@@ -84,9 +88,10 @@ def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
                 late = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(len(s), bool)
                 first.append(np.concatenate((s[~late], s[late]))[: len(s) + percent * len(s) // -100 + 1].view(np.int64))
                 bits.append(_bitmap(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + len(n)), pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["uid", "doc_id", "n", "cls", "first", "bits"])
+            uid += len(n)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, first array<long>, bits binary")
+    return docs.mapInArrow(run, "uid long, doc_id long, n long, cls long, first array<long>, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, k: int) -> np.ndarray:
@@ -147,8 +152,8 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _passing(tile: np.ndarray, n: np.ndarray, bits: pa.ChunkedArray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the tiles (rows sorted by tile and n) that size and bitmaps allow, in steps of growing distance."""
+def _passing(tile: np.ndarray, n: np.ndarray, bits: pa.ChunkedArray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs within the tiles (rows sorted by tile and n) that size and bitmaps allow, with the bound on their similarity."""
     flat = np.concatenate([np.frombuffer(b, np.uint64) for b in bits.to_pylist()])
     width = np.array([0] + [len(b) // 8 for b in bits.to_pylist()], np.int64)
     start, width = np.cumsum(width)[:-1], width[1:]
@@ -161,7 +166,7 @@ def _passing(tile: np.ndarray, n: np.ndarray, bits: pa.ChunkedArray, percent: in
         if not len(i):
             return
         j = i + d
-        ok = np.zeros(len(i), bool)
+        ok, bound = np.zeros(len(i), bool), np.zeros(len(i))
         for w in np.unique(width[i]):
             at = np.flatnonzero(width[i] == w)
             for part in np.array_split(at, -(-len(at) // max(1, 200_000 // int(w)))):
@@ -174,34 +179,72 @@ def _passing(tile: np.ndarray, n: np.ndarray, bits: pa.ChunkedArray, percent: in
                 lack_a = np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
                 most = np.minimum(n[i[part]] - lack_b, n[j[part]] - lack_a)  # elements that both can hold
                 ok[part] = 100 * most >= percent * (n[i[part]] + n[j[part]] - most)
-        yield i[ok], j[ok]
+                bound[part] = most / (n[i[part]] + n[j[part]] - most)
+        yield i[ok], j[ok], bound[ok]
+
+
+def _earlier(tile: np.ndarray, mine: list[list[int] | None]) -> list[tuple[int, np.ndarray]]:
+    """For each run of rows of one large tile: where it begins, and a bitmap per row of those smaller large tiles it shares."""
+    out = []
+    starts = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        if b - a < 2 or mine[a] is None:
+            continue
+        lists = [np.array(x, np.int64) for x in mine[a:b]]
+        lists = [x[x < tile[a]] for x in lists]
+        ids, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        rank = np.cumsum(n > 1) - 1
+        row = np.repeat(np.arange(b - a), [len(x) for x in lists])
+        shared = n[at] > 1
+        bits = np.zeros((b - a, int((n > 1).sum()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row[shared], rank[at[shared]] // 64), np.uint64(1) << (rank[at[shared]] % 64).astype(np.uint64))
+        out.append((int(a), bits))
+    return out
 
 
 def _pairs(tiles: DataFrame, percent: int, by_component: bool) -> DataFrame:
-    """Distinct pairs (a, b) of classes to compare. tiles: tile, n, cls, comp, bits."""
+    """Distinct pairs (a, b) of classes to compare. tiles: tile, n, cls, comp, bits, mine (a class's large tiles, null in others).
+
+    Each class with its most similar partner by the bound, in one of its large tiles and in all others; or, by component, all pairs
+    whose components differ, each in the first large tile that has both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_tiles(batches):
             tile, n, cls, comp = (t.column(k).to_numpy() for k in range(4))
+            mine = t.column(5).to_pylist()
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            best = np.full(len(cls), np.iinfo(np.int64).max)
-            for i, j in _passing(tile, n, t.column(4), percent):
-                if by_component:
-                    differ = comp[i] != comp[j]
-                    out.append((cls[i[differ]], cls[j[differ]]))
-                else:  # the smallest partner
+            best, partner = np.zeros(len(cls)), np.full(len(cls), -1)
+            earlier = _earlier(tile, mine) if by_component else []
+            begins = np.array([a for a, _ in earlier], np.int64)
+            ends = np.array([a + len(x) for a, x in earlier], np.int64)
+            for i, j, bound in _passing(tile, n, t.column(4), percent):
+                if not by_component:
                     other = cls[i] != cls[j]
-                    i, j = i[other], j[other]
-                    best[i] = np.minimum(best[i], cls[j])
-                    best[j] = np.minimum(best[j], cls[i])
+                    for x, y in ((i[other], j[other]), (j[other], i[other])):
+                        better = bound[other] > best[x]
+                        best[x[better]], partner[x[better]] = bound[other][better], y[better]
+                    continue
+                differ = comp[i] != comp[j]
+                i, j = i[differ], j[differ]
+                if len(begins) and len(i):
+                    at = np.maximum(np.searchsorted(begins, i, "right") - 1, 0)
+                    large = (begins[at] <= i) & (i < ends[at])
+                    again = np.zeros(len(i), bool)
+                    for k in np.unique(at[large]):
+                        of = np.flatnonzero(large & (at == k))
+                        a, bits = earlier[k]
+                        again[of] = (bits[i[of] - a] & bits[j[of] - a]).any(1)
+                    i, j = i[~again], j[~again]
+                out.append((cls[i], cls[j]))
             if not by_component:
-                has = best < np.iinfo(np.int64).max
-                out.append((cls[has], best[has]))
+                asks = (partner >= 0) & np.array([m is None or m[0] == x for m, x in zip(mine, tile.tolist(), strict=True)], bool)
+                out.append((cls[asks], cls[partner[asks]]))
             a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in (0, 1))
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    sorted_tiles = tiles.select("tile", "n", "cls", "comp", "bits").repartition(F.col("tile")).sortWithinPartitions("tile", "n")
+    sorted_tiles = tiles.select("tile", "n", "cls", "comp", "bits", "mine").repartition(F.col("tile")).sortWithinPartitions("tile", "n")
     return sorted_tiles.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -249,24 +292,27 @@ def join_similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "
     ship(docs.sparkSession)
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(signatures(thin, k, percent, frequent_shingles(thin, thin.count(), k)))
-    classes = cut(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("min_id")))
-    one = signed.where(F.col("cls").isNotNull()).join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("min_id")))
+    with_set = signed.where(F.col("cls").isNotNull())
+    classes = cut(with_set.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("rep")))
+    copies = cut(with_set.select("cls", "uid").join(classes, "cls").where(F.col("uid") != F.col("rep")).select("uid"))
+    one = with_set.join(sized(copies), "uid", "left_anti")
 
     found = cut(_shared(one.select(F.explode("first").alias("token"), "cls")).distinct())
     # Shingles that the same classes share need one tile only.
     tokens = found.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")).where("size > 1")
     tokens = tokens.groupBy("size", "lo", "hi", "mark").agg(F.min("token").alias("token")).select("token", "size")
     members = found.join(cut(tokens), "token").select("token", "size", "cls")
-    traits = cut(one.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "bits", "min_id"))
+    traits = cut(one.join(members.select("cls").distinct(), "cls", "left_semi").join(classes.select("cls", "min_id"), "cls").select("cls", "n", "bits", "min_id"))
     members = members.join(traits.select("cls", "n"), "cls")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     parts = F.ceil(F.col("size") / TILE).cast("long")
     own = F.pmod(F.xxhash64(F.lit(3), "cls"), parts)
     near = F.when(F.col("size") > TILE, F.array(band - 1, band)).otherwise(F.array(F.lit(-9).cast("long")))
-    tiles = members.select("token", "cls", "n", own.alias("own"), parts.alias("parts"), F.explode(near).alias("band")).select("token", "cls", "n", "band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    tiles = cut(tiles.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "cls").distinct())
+    tiles = members.select("token", "cls", (F.col("size") > LARGE).alias("large"), own.alias("own"), parts.alias("parts"), F.explode(near).alias("band")).select("token", "cls", "large", "band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    tiles = cut(tiles.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "cls", "large").distinct())
+    lists = tiles.where("large").groupBy("cls").agg(F.sort_array(F.collect_list("tile")).alias("mine"))
 
-    dressed = tiles.join(traits.select("cls", "n", "bits"), "cls")
+    dressed = tiles.join(traits.select("cls", "n", "bits"), "cls").join(lists, "cls", "left").withColumn("mine", F.when(F.col("large"), F.col("mine")))
     pairs = cut(_pairs(dressed.withColumn("comp", F.col("cls")), percent, False))
     wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
 
