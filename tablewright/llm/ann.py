@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +55,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Where the k best of distinct ids stand, best first, equal scores by id."""
-    order = np.lexsort((ids, -scores))
-    _, first = np.unique(ids[order], return_index=True)
-    return order[np.sort(first)][:k]
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists end to end, and the row of each."""
+    sizes = np.asarray(pc.list_value_length(column).fill_null(0), np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
+
+
+def _as_lists(rows: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """n lists of values whose rows ascend."""
+    ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, late: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best of each row's distinct ids stand, row by row, best first, equal scores by id; of equal ids one not late."""
+    order = np.lexsort((late, ids, rows))
+    r, i = rows[order], ids[order]
+    order = order[np.concatenate(([True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])))] if len(order) else order
+    order = order[np.lexsort((ids[order], -scores[order], rows[order]))]
+    r = rows[order]
+    at = np.arange(len(r)) - np.searchsorted(r, r)
+    return order[at < k]
 
 
 def _cells(nodes: DataFrame, n: int, dim: int) -> DataFrame:
@@ -82,7 +99,7 @@ def _start(cells: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             ids = t.column(1).to_numpy()
-            v = np.array([np.frombuffer(x, np.float16) for x in t.column(2).to_pylist()]).astype(np.float32)
+            v = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
             k = min(DEGREE, len(ids) - 1)
             if k < 1:
                 continue
@@ -100,15 +117,12 @@ def _merged(graph: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, scores, fresh = [], [], []
-            for old, had, ys, ss in zip(*[batch.column(c).to_pylist() for c in range(2, 6)], strict=True):
-                old, ys = np.array(old or [], np.int64), np.array(ys or [], np.int64)
-                ids, s = np.concatenate((old, ys)), np.concatenate((np.array(had or [], np.float32), np.array(ss or [], np.float32)))
-                at = _best(ids, s, DEGREE)
-                near.append(ids[at])
-                scores.append(s[at])
-                fresh.append(~np.isin(ids[at], old))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float32())), pa.array(fresh, pa.list_(pa.bool_()))], ["id", "v", "near", "scores", "fresh"])
+            (old, old_rows), (had, _), (ys, y_rows), (ss, _) = (_lists(batch.column(c)) for c in range(2, 6))
+            rows, ids, s = np.concatenate((old_rows, y_rows)), np.concatenate((old, ys)).astype(np.int64), np.concatenate((had, ss)).astype(np.float32)
+            new = np.arange(len(rows)) >= len(old)
+            at = _best(rows, ids, s, new, DEGREE)
+            lists = [_as_lists(rows[at], batch.num_rows, x[at], kind) for x, kind in ((ids, pa.int64()), (s, pa.float32()), (new, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "v", "near", "scores", "fresh"])
 
     joined = graph.join(lists, "id", "left").select("id", "v", "near", "scores", "ys", "ss")
     return cut(joined.mapInArrow(run, f"id long, v binary, near {LIST}, scores array<float>, fresh array<boolean>"))
@@ -126,7 +140,7 @@ def _brought_together(graph: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             x, fresh, worst = (t.column(c).to_numpy() for c in (1, 2, 3))
-            v = np.array([np.frombuffer(b, np.float16) for b in t.column(4).to_pylist()]).astype(np.float32)
+            v = np.frombuffer(b"".join(t.column(4).to_pylist()), np.float16).reshape(len(x), -1).astype(np.float32)
             s = v @ v.T
             ok = (s > worst[:, None]) & (x[:, None] != x[None, :]) & (fresh[:, None].astype(bool) | fresh[None, :].astype(bool))
             i, j = np.nonzero(ok)
@@ -155,62 +169,76 @@ def build_graph(nodes: DataFrame, n: int, dim: int, rounds: int = ROUNDS) -> Dat
 
 
 def _scored(work: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
-    """q, ids, scores for work (q, qvec, cands): candidates go to the blocks that hold their vectors."""
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    parts = work.select("q", F.explode("cands").alias("c")).groupBy("q", block("c").alias("block")).agg(F.collect_list("c").alias("cands")).join(work.select("q", "qvec"), "q")
+    """q, ids, scores for work (q, qvec, least, cands): candidates go to the blocks that hold their vectors; those over least return."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cands, rows = _lists(batch.column(3))
+            block = np.mod(cands.astype(np.int64), blocks)
+            order = np.lexsort((rows, block))
+            cands, rows, block = cands[order], rows[order], block[order]
+            first = np.concatenate(([True], (rows[1:] != rows[:-1]) | (block[1:] != block[:-1]))) if len(rows) else np.zeros(0, bool)
+            part = np.cumsum(first) - 1
+            of = pa.array(rows[first])
+            yield pa.RecordBatch.from_arrays([pa.array(block[first]), *[batch.column(c).take(of) for c in range(3)], _as_lists(part, int(first.sum()), cands, pa.int64())], ["block", "q", "qvec", "least", "cands"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        if not n or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], ["q", "ids", "scores"])
         ids = right.column("id").to_numpy()
         order = np.argsort(ids)
-        v, ids = _matrix(right.column("vec").combine_chunks())[order] if len(ids) else np.zeros((0, 1)), ids[order]
-        out_ids, out_scores = [], []
-        for qvec, cands in zip(left.column("qvec").to_pylist(), left.column("cands").to_pylist(), strict=True):
-            c = np.array(cands, np.int64)
-            at = np.minimum(np.searchsorted(ids, c), max(len(ids) - 1, 0))
-            c, at = (c[ids[at] == c], at[ids[at] == c]) if len(ids) else (c[:0], at[:0])
-            out_ids.append(c)
-            out_scores.append((v[at] * np.array(qvec, np.float64)).sum(1))
-        return pa.table([left.column("q").combine_chunks(), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], ["q", "ids", "scores"])
-
-    both = parts.select("block", "q", "qvec", "cands").groupBy("block").cogroup(nodes.select(block("id").alias("block"), "id", "vec").groupBy("block"))
+        v, ids = _matrix(right.column("vec").combine_chunks(), np.float32)[order], ids[order]
+        qvec, least = _matrix(left.column("qvec").combine_chunks(), np.float32), left.column("least").to_numpy()
+        cands, rows = _lists(left.column("cands").combine_chunks())
+        at = np.minimum(np.searchsorted(ids, cands), len(ids) - 1)
+        fits = ids[at] == cands
+        at, rows = at[fits], rows[fits]
+        scores = np.empty(len(at))
+        for a in range(0, len(at), 16384):
+            scores[a : a + 16384] = (v[at[a : a + 16384]].astype(np.float64) * qvec[rows[a : a + 16384]]).sum(1)
+        good = scores > least[rows]
+        return pa.table([left.column("q").combine_chunks(), _as_lists(rows[good], n, ids[at[good]], pa.int64()), _as_lists(rows[good], n, scores[good], pa.float64())], ["q", "ids", "scores"])
+
+    parts = work.select("q", "qvec", "least", "cands").mapInArrow(split, f"block long, q long, qvec array<float>, least double, cands {LIST}")
+    both = parts.groupBy("block").cogroup(nodes.select(F.pmod("id", F.lit(blocks)).alias("block"), "id", "vec").groupBy("block"))
     return both.applyInArrow(run, f"q long, ids {LIST}, scores array<double>")
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, n: int, ef: int, starts: list[int]) -> DataFrame:
     """q, ids, scores: for queries (q, qvec), which are nodes, the ef best nodes found, best first, q's own among them."""
     blocks = max(1, n // BLOCK)
-    opened = queries.select("q", "qvec", F.array("q").alias("front"), F.array().cast(LIST).alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("done"))
+    state = queries.select("q", "qvec", F.array("q").alias("front"), F.array().cast(LIST).alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("done"))
     extra = F.array(*[F.lit(s).cast("long") for s in starts]) if starts else F.array().cast(LIST)
-    state, step, width = opened, 0, ef // 4
+    step, width = 0, ef // 4
 
     def advance(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: list[list] = [[], [], [], []]
-                for ids, scores, done, new, new_scores in zip(*[batch.column(c).to_pylist() for c in range(2, 7)], strict=True):
-                    ids, done = np.array([*ids, *(new or [])], np.int64), np.array([*done, *[False] * len(new or [])], bool)
-                    scores = np.array([*scores, *(new_scores or [])], np.float64)
-                    at = _best(ids, scores, ef)
-                    ids, scores, done = ids[at], scores[at], done[at]
-                    front = np.flatnonzero(~done[:k])
-                    done[front] = True
-                    for o, x in zip(out, (ids[front], ids, scores, done), strict=True):
-                        o.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, pa.list_(kind)) for o, kind in zip(out, kinds, strict=True)]], ["q", "qvec", "front", "ids", "scores", "done"])
+                (old, old_rows), (had, _), (was, _), (new, new_rows), (got, _) = (_lists(batch.column(c)) for c in range(2, 7))
+                rows, ids, scores = np.concatenate((old_rows, new_rows)), np.concatenate((old, new)).astype(np.int64), np.concatenate((had, got)).astype(np.float64)
+                late = np.arange(len(rows)) >= len(old)
+                done = np.concatenate((was.astype(bool), np.zeros(len(new), bool)))
+                at = _best(rows, ids, scores, late, ef)
+                rows, ids, scores, done = rows[at], ids[at], scores[at], done[at]
+                front = ~done & (np.arange(len(rows)) - np.searchsorted(rows, rows) < k)
+                m = batch.num_rows
+                lists = [_as_lists(rows[front], m, ids[front], pa.int64()), _as_lists(rows, m, ids, pa.int64()), _as_lists(rows, m, scores, pa.float64()), _as_lists(rows, m, done | front, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["q", "qvec", "front", "ids", "scores", "done"])
 
         return run
 
+    least = F.when(F.size("ids") < ef, F.lit(float("-inf"))).otherwise(F.element_at("scores", -1))
     while True:
         fronts = state.select("q", F.explode("front").alias("id")).join(graph, "id").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("cands"))
         work = state.join(fronts, "q", "left" if step == 0 else "inner")
         cands = F.coalesce("cands", F.array().cast(LIST))
-        work = work.select("q", "qvec", F.array_except(F.array_union(F.array_union(cands, extra), F.array("q")) if step == 0 else cands, F.col("ids")).alias("cands"))
+        work = work.select("q", "qvec", least.alias("least"), F.array_except(F.array_union(F.array_union(cands, extra), F.array("q")) if step == 0 else cands, F.col("ids")).alias("cands"))
         got = _scored(work, nodes, blocks).groupBy("q").agg(F.flatten(F.collect_list("ids")).alias("new"), F.flatten(F.collect_list("scores")).alias("new_scores"))
-        joined = state.join(got, "q", "left").select("q", "qvec", "ids", "scores", "done", "new", "new_scores").select("q", "qvec", "ids", "scores", "done", "new", "new_scores")
+        joined = state.join(got, "q", "left").select("q", "qvec", "ids", "scores", "done", "new", "new_scores")
         state = cut(joined.mapInArrow(advance(width), f"q long, qvec array<float>, front {LIST}, ids {LIST}, scores array<double>, done array<boolean>"))
-        step, width = step + 1, min(ef, 2 * width) if step else width
-        if width == ef and step > 2 and state.where(F.size("front") > 0).isEmpty():
+        step, width = step + 1, min(ef, 2 * width)
+        if step > 2 and state.where(F.size("front") > 0).isEmpty():
             return state.select("q", "ids", "scores")
 
 
