@@ -50,7 +50,7 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed: int
     source is block j mod n of a permutation that has its own key for every pass. All draws follow from the seed, so reruns agree.
     Null and empty texts have size 0 and are never taken; a null source is a source of its own. Empty tables give empty results.
     """
-    sized = cut(docs.select(F.col("doc_id"), F.col("source"), key_of(F.col("source")).alias("skey"), word_count(F.col(text)).alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), key_of(F.col("source")).alias("skey"), word_count(F.col(text)).alias("size")))
     targets = cut(source_targets(sized, weights, share, most))
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     plans = targets.withColumn("n_blocks", n_blocks).withColumn("n_slots", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") / F.col("source_size") * n_blocks), F.lit(most) * n_blocks)).otherwise(F.lit(0)).cast("long"))
@@ -96,7 +96,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     documents, _, _ = mix(docs, text=text, **how)
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     times = documents.where("size > 0").select(F.col("doc_id").alias("__id"), key_of(F.col("source")).alias("__source"), F.col("size").alias("__size"), times.alias("__times"))
-    times = cut(times.dropDuplicates(["__id", "__source", "__size"]).where("__times > 0"))
-    rows = docs.withColumns({"__key": key_of(F.col("source")), "__n": word_count(F.col(text))})
-    rows = rows.join(sized(times), rows["doc_id"].eqNullSafe(times["__id"]) & (rows["__key"] == times["__source"]) & (rows["__n"] == times["__size"]))
+    times = cut(times.dropDuplicates(["__id", "__source", "__size"]).where("__times > 0").withColumn("__hash", F.xxhash64("__id", "__source", "__size")))
+    rows = docs.withColumns({"__key": key_of(F.col("source")), "__n": word_count(F.col(text))}).withColumn("__of", F.xxhash64(F.col("doc_id").cast("long"), "__key", "__n"))
+    # One whole number as the join's key keeps a list that is sent out small; what it stands for is compared as well.
+    same = rows["doc_id"].eqNullSafe(times["__id"]) & (rows["__key"] == times["__source"]) & (rows["__n"] == times["__size"])
+    rows = rows.join(sized(times), (rows["__of"] == times["__hash"]) & F.coalesce(same, F.lit(False)))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
