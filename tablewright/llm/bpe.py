@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import ship
+from tablewright.llm.common import ship, tidy
 
 #: Fixed value: the pattern of byte-level BPE that cuts a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -291,4 +291,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", carry: tupl
 
     thin = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("__text"))
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in carry] + [f"{k} {KINDS[k]}" for k in outputs])
-    return thin.mapInArrow(run, schema)
+    return thin.mapInArrow(lambda rows: tidy(run(rows)), schema)

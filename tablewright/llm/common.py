@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,11 @@ def ship(spark: SparkSession) -> None:
 def sized(small: DataFrame, rows: int = 500_000) -> DataFrame:
     """small marked for broadcast if it has no more than so many rows; else as it is, for a join by shuffle."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def tidy(rows: Iterator) -> Iterator:
+    """rows, and afterwards the worker's freed memory given back, so that an idle worker holds little."""
+    yield from rows
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, ship, sized
+from tablewright.llm.common import cut, ship, sized, tidy
 
 #: Classes in a tile before it is cut into bands, and documents in the sample that finds very frequent shingles.
 TILE, SAMPLE, FREQUENT = 4096, 4000, 0.005
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
             yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + len(n)), pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["uid", "doc_id", "n", "cls", "first", "bits"])
             uid += len(n)
 
-    return docs.mapInArrow(run, "uid long, doc_id long, n long, cls long, first array<long>, bits binary")
+    return docs.mapInArrow(lambda rows: tidy(run(rows)), "uid long, doc_id long, n long, cls long, first array<long>, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, k: int) -> np.ndarray:
@@ -245,7 +245,7 @@ def _pairs(tiles: DataFrame, percent: int, by_component: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     sorted_tiles = tiles.select("tile", "n", "cls", "comp", "bits", "mine").repartition(F.col("tile")).sortWithinPartitions("tile", "n")
-    return sorted_tiles.mapInArrow(run, "a long, b long").distinct()
+    return sorted_tiles.mapInArrow(lambda rows: tidy(run(rows)), "a long, b long").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

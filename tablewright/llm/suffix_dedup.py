@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, ship, sized
+from tablewright.llm.common import cut, ship, sized, tidy
 
 GRAM = 32
 #: Positions of one gram that are compared in one task; those of more frequent grams are counted by a shuffle of their strings.
@@ -134,7 +134,7 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
                 uid += len(raws)
                 yield pa.RecordBatch.from_arrays([*out, *lists], ["uid", "doc_id", "sha", "n_bytes", "pos", "f", "whole", "r1", "l1", "r2", "m2", "l2"])
 
-    return docs.mapInArrow(run, f"uid long, doc_id long, sha string, n_bytes long, {ANCHORS}")
+    return docs.mapInArrow(lambda rows: tidy(run(rows)), f"uid long, doc_id long, sha string, n_bytes long, {ANCHORS}")
 
 
 def _round(positions: DataFrame, ranks: tuple[str, ...]) -> DataFrame:
@@ -207,7 +207,7 @@ def _compared(few: DataFrame, many: DataFrame | None, length: int) -> DataFrame:
             uid, pos = np.array([r[1] for r in rows], np.int64)[row], np.array([r[2] for r in rows], np.int64)[row]
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(pos + s), pa.array(pos + e)], ["uid", "s", "e"])
 
-    out = few.select(*fields).repartition(F.col("f")).sortWithinPartitions("f").mapInArrow(within, "uid long, s long, e long")
+    out = few.select(*fields).repartition(F.col("f")).sortWithinPartitions("f").mapInArrow(lambda rows: tidy(within(rows)), "uid long, s long, e long")
 
     if many is None:
         return out
@@ -317,5 +317,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[k], kinds[k][0]) for k in outputs]], ["__carry", *outputs])
 
     kind = rows.schema["__carry"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"__carry {kind}, " + ", ".join(f"{k} {kinds[k][1]}" for k in outputs))
+    out = rows.mapInArrow(lambda batches: tidy(run(batches)), f"__carry {kind}, " + ", ".join(f"{k} {kinds[k][1]}" for k in outputs))
     return out.select("__carry.*", *outputs)
