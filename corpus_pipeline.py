@@ -32,8 +32,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents until the sources have their target weights."""
-    return mixing.mixed_documents(docs)
+    """Repeats and leaves out blocks of words until the sources have their target weights; n_chars follows."""
+    out = mixing.mixed_documents(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, key_of, sized, word_count
+from tablewright.llm.common import cut, key_of, word_count
 
 ROUNDS = 8
+#: A word with the white space after it, the first one also with what is before it.
+WORD = r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -88,17 +90,26 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed: int
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of docs, with all their columns, as often as the mix takes them: its words over the row's, rounded, half up.
+    """What the mix takes of the rows of docs: all their columns, the text cut to the words taken.
 
-    Rows that the mix takes less than half of don't appear. Rows without words never do. Rows of one doc_id, source and size share
-    what the first of them got. Otherwise as mix().
+    A row appears once with its words that the mix takes at all, once more with those that it takes twice, and so on: the words
+    written are those of mix()'s slots, no more and no fewer. White space stays as it was; a text that is taken whole is unchanged.
+    Rows that the mix takes nothing of, and rows without words, don't appear. Otherwise as mix().
     """
-    documents, _, _ = mix(docs, text=text, **how)
-    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    times = documents.where("size > 0").select(F.col("doc_id").alias("__id"), key_of(F.col("source")).alias("__source"), F.col("size").alias("__size"), times.alias("__times"))
-    times = cut(times.dropDuplicates(["__id", "__source", "__size"]).where("__times > 0").withColumn("__hash", F.xxhash64("__id", "__source", "__size")))
-    rows = docs.withColumns({"__key": key_of(F.col("source")), "__n": word_count(F.col(text))}).withColumn("__of", F.xxhash64(F.col("doc_id").cast("long"), "__key", "__n"))
-    # One whole number as the join's key keeps a list that is sent out small; what it stands for is compared as well.
-    same = rows["doc_id"].eqNullSafe(times["__id"]) & (rows["__key"] == times["__source"]) & (rows["__n"] == times["__size"])
-    rows = rows.join(sized(times), (rows["__of"] == times["__hash"]) & F.coalesce(same, F.lit(False)))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, pieces, slots = mix(docs, text=text, **how)
+    uses = slots.groupBy("skey", "block").agg(F.count(F.lit(1)).cast("int").alias("uses"))
+    part = F.struct(F.col("first_word").cast("int").alias("first_word"), F.col("n_words").cast("int").alias("n_words"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    parts = pieces.join(uses, ["skey", "block"], "left").groupBy("skey", "start", "doc_id", "size").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    # Rows of one doc_id, source and size are numbered on both sides; no value of the keys is null.
+    keys = ["__id", "__source", "__size"]
+    parts = parts.select(key_of(F.col("doc_id")).alias("__id"), F.col("skey").alias("__source"), F.col("size").alias("__size"), "start", F.filter("parts", lambda x: x["uses"] > 0).alias("__parts"))
+    parts = cut(parts.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("start"))).drop("start").where(F.size("__parts") > 0))
+    rows = docs.withColumns({"__id": key_of(F.col("doc_id").cast("long")), "__source": key_of(F.col("source")), "__size": word_count(F.col(text))}).where("__size > 0")
+    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(text)))
+    # In a condition of its own the number is no key, so that the join can use the window's partitions.
+    rows = rows.join(parts, keys).where(F.coalesce(F.col("__at") == F.col("__r"), F.lit(False)))
+    rows = rows.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__parts", lambda x: x["uses"])))))
+    chosen = F.filter("__parts", lambda x: x["uses"] >= F.col("__pass"))
+    rows = rows.withColumn(text, F.array_join(F.flatten(F.transform(chosen, lambda x: F.slice("__words", x["first_word"] + 1, x["n_words"]))), ""))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

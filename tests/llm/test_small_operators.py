@@ -97,6 +97,30 @@ def test_mixing(spark):
     assert max(copies.values()) <= 4 and mixing.mix(docs.limit(0))[0].collect() == []
 
 
+def test_mixed_documents_write_what_the_mix_drew(spark):
+    """Long documents, of which the mix takes about a tenth, one and a half and two of each word."""
+    rnd = random.Random(4)
+    text = lambda n, i: " \n"[i % 2] + "".join(f"w{i}.{k}" + rnd.choice((" ", "\n", "\t ")) for k in range(n))
+    rows = [(i, text(rnd.choice((40, 1500, 4000)), i), "abc"[i % 3]) for i in range(60)] + [(700, text(900, 100 + i), "b") for i in range(4)] + [(None, text(300, 200), None), (800, " ", "a"), (801, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1, 4, 20), (5, 2, 1)):
+        drawn, target = Counter(), {}
+        for r in mixing.mix(docs, weights=weights)[0].collect():
+            drawn[r.source, r.doc_id] += r.taken
+            target[r.source] = r.target
+        written, words = Counter(), Counter()
+        of = {w: (i, s) for i, t, s in rows for w in (t or "").split()}
+        for r in mixing.mixed_documents(docs.repartition(3), weights=weights).collect():
+            written[r.source, r.doc_id] += len(r.text.split())
+            words.update(r.text.split())
+            assert all(of[w] == (r.doc_id, r.source) for w in r.text.split())
+        assert written == +drawn and max(words.values()) <= 2
+        for s in target:
+            assert abs(sum(n for (x, _), n in written.items() if x == s) - target[s]) <= max(128, 0.02 * target[s])
+    whole = {r.text for r in mixing.mixed_documents(docs, weights=(1, 4, 20)).where("source = 'c'").collect()}
+    assert len(whole & {t for _, t, s in rows if s == "c"}) == 20
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
