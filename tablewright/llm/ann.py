@@ -87,7 +87,7 @@ def _cells(nodes: DataFrame, n: int, dim: int) -> DataFrame:
             v = _matrix(batch.column(1), np.float32)
             for t in range(TABLES if bits else 1):
                 code = ((v @ planes[t] > 0) @ (1 << np.arange(max(bits, 1)))).astype(np.int64) if bits else np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code * TABLES + t), batch.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["cell", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(code * TABLES + t), batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["cell", "id", "v"])
 
     cells = nodes.select("id", "vec").mapInArrow(run, "cell long, id long, v binary")
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
@@ -99,7 +99,7 @@ def _start(cells: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             ids = t.column(1).to_numpy()
-            v = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
+            v = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float32).reshape(len(ids), -1)
             k = min(DEGREE, len(ids) - 1)
             if k < 1:
                 continue
@@ -140,7 +140,7 @@ def _brought_together(graph: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             x, fresh, worst = (t.column(c).to_numpy() for c in (1, 2, 3))
-            v = np.frombuffer(b"".join(t.column(4).to_pylist()), np.float16).reshape(len(x), -1).astype(np.float32)
+            v = np.frombuffer(b"".join(t.column(4).to_pylist()), np.float32).reshape(len(x), -1)
             s = v @ v.T
             ok = (s > worst[:, None]) & (x[:, None] != x[None, :]) & (fresh[:, None].astype(bool) | fresh[None, :].astype(bool))
             i, j = np.nonzero(ok)
@@ -153,12 +153,12 @@ def _brought_together(graph: DataFrame) -> DataFrame:
 def build_graph(nodes: DataFrame, n: int, dim: int, rounds: int = ROUNDS) -> DataFrame:
     """id and near: each node's neighbours and the best of those it is a neighbour of, 2 * DEGREE at most."""
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), np.float32).astype(np.float16)
+            v = _matrix(batch.column(1), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "v"])
 
-    graph = nodes.select("id", "vec").mapInArrow(short, "id long, v binary").withColumns({"near": F.array().cast(LIST), "scores": F.array().cast("array<float>")})
+    graph = nodes.select("id", "vec").mapInArrow(whole, "id long, v binary").withColumns({"near": F.array().cast(LIST), "scores": F.array().cast("array<float>")})
     graph = _merged(graph, _start(_cells(nodes, n, dim)))
     for _ in range(rounds):
         graph = _merged(graph, _brought_together(graph))

@@ -180,3 +180,21 @@ def test_neighbours(spark):
     few = ann.nearest(spark.createDataFrame(rows[:3] + [(20, [1.0] * 24)], "vec_id long, embedding array<float>")).collect()
     assert Counter(r.query_id for r in few) == {0: 3, 20: 3}
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_neighbours_in_a_dense_group(spark):
+    """A third of the rows are near copies of one vector, nearer to one another than half precision can tell."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + 0.01 * x[::3]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in ann.nearest(docs, every=90).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 9000, 90):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        hits += len(found[q] & set([i for i in np.lexsort((np.arange(9000), -s)) if i != q][:20]))
+    assert hits / (20 * 100) >= 0.95, hits / (20 * 100)
