@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +63,8 @@ def apply_url_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url
     # Ranges of the sorted keys, opening rules before urls of the same key.
     events = points.unionByName(stacks.select("key", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = events.repartitionByRange(n, "key").withColumn("part", F.spark_partition_id())
+    # Written once: the bounds are sampled, so two evaluations would disagree on which rows a range holds. One key may fill many ranges.
+    ranged = cut(events.repartitionByRange(n, "key", "host", "path").withColumn("part", F.spark_partition_id()))
     # What is open where a range begins: the rules that are prefixes of its first key.
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first"))
     begun = firsts.select("part", "first", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda i: F.substring(F.col("first"), F.lit(1), i))).alias("key"))
