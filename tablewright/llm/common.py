@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: White space between words: the space and the controls from tab to carriage return.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
+#: What is sent out to all executors holds so many bytes at most, as estimated from its rows.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """cut() for a loop: forgets what the plan was estimated to hold, too. Estimates multiply at joins; their digits double each time."""
+    out, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(out._jdf.javaRDD(), out._jdf.schema()), spark)
+
+
 def key_of(col: Column) -> Column:
     """A string that is never null and differs where the values differ: for joins in which null is a value."""
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))
@@ -73,9 +81,21 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(to)
 
 
-def sized(small: DataFrame, rows: int = 500_000) -> DataFrame:
-    """small marked for broadcast if it has no more than so many rows; else as it is, for a join by shuffle."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+def sized(small: DataFrame, rows: int = 500_000, weight: Column | None = None) -> DataFrame:
+    """small marked for broadcast if it is so; else as it is, for a join by shuffle.
+
+    Small is: no more than so many rows; or, with weight (a row's bytes, estimated), BROADCAST_BYTES at most.
+    """
+    if weight is None:
+        return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+    return F.broadcast(small) if (small.agg(F.sum(weight.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else small
+
+
+def salted(rows: DataFrame, key: str, other: str, most: int) -> DataFrame:
+    """rows with salt, which splits the rows of a key that has more than `most` by a hash of `other`; 0 for all other keys."""
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / most).alias("__n"))
+    out = rows.join(sized(cut(hot)), F.col(key) == F.col("__hot"), "left")
+    return out.withColumn("salt", F.pmod(F.xxhash64(F.lit(6), other), F.coalesce("__n", F.lit(1)))).drop("__hot", "__n")
 
 
 def tidy(rows: Iterator) -> Iterator:

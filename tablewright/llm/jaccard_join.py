@@ -1,10 +1,12 @@
 """Exact Jaccard self-join of documents on word shingles, and the components of its links.
 
 Documents with equal shingle sets are one class. Two classes that are similar enough share one of the first shingles of each, in
-an order common to all documents that puts very frequent shingles last. The classes that share such a shingle form a tile; tiles of
-many classes are cut into bands of set size. Within a tile, hashed bitmaps bound the overlap of two sets from above: bits of one
-that the other lacks are elements that it lacks. Pairs that pass are compared exactly, by intersecting the sorted sets. First each
-class meets its likeliest partner; then, of the pairs that pass, only those whose components still differ.
+an order common to all documents that puts very frequent shingles last. The classes that share such a shingle form a tile; only
+those stay that have another one of fitting size beside them, and large tiles are cut into bands of set size and then by hash.
+Within a tile, hashed bitmaps bound the overlap of two sets from above: bits of one that the other lacks are elements that it
+lacks. Each class first meets its likeliest partner, exactly, by intersecting the sorted sets. Then the sets of those classes that
+still have a passing partner in another component come into their tiles and are intersected there. No pair is ever a row unless
+it is a link, or the one that a class asks first.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, ship, sized, tidy
+from tablewright.llm.common import cut, cut_in_loop, salted, ship, sized, tidy
 
-#: Classes in a tile before it is cut into bands, and documents in the sample that finds very frequent shingles.
-TILE, SAMPLE, FREQUENT = 4096, 4000, 0.005
-#: Classes in a tile from which on its pairs are looked for in the first tile that they share only.
+#: Classes, and bytes of their sets, in a tile before it is cut into bands and parts.
+TILE, TILE_BYTES = 4096, 32 << 20
+#: Documents in the sample that finds very frequent shingles: so many, or this share of all; and in how many documents one is frequent.
+SAMPLE, SHARE, FREQUENT = 4000, 0.02, 400
+#: Classes in a tile from which on its pairs are compared in the first tile that they share only.
 LARGE = 64
-#: A list of so many ids at most (8 bytes each) is sent to all executors; a longer one is joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Classes that meet one likeliest partner in one task, and places that one row of the list of places holds.
+ASKERS, PLACES = 128, 1000
+#: Parts of what overlapping tiles lead to, in the last round.
+PARTS = 16
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -55,6 +61,10 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(s)
 
 
+def _class_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _bitmap(s: np.ndarray) -> bytes:
     """A bitmap of the set with at least four bits for each element, up to 8192; halves of a larger one joined give a smaller one."""
     bits = 64
@@ -70,7 +80,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """uid (of the row), doc_id, n, cls (a hash of the set, null for an empty one), first (the shingles that a partner must share one of), bits."""
+    """uid (of the row), doc_id, th (hash of the text), n, cls (a hash of the set, null for an empty one), first (the shingles that a partner must share one of), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
@@ -84,19 +94,19 @@ def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
                     first.append(None)
                     bits.append(None)
                     continue
-                cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                cls.append(_class_of(s))
                 late = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(len(s), bool)
                 first.append(np.concatenate((s[~late], s[late]))[: len(s) + percent * len(s) // -100 + 1].view(np.int64))
                 bits.append(_bitmap(s))
-            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + len(n)), pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["uid", "doc_id", "n", "cls", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + len(n)), pa.int64()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["uid", "doc_id", "th", "n", "cls", "first", "bits"])
             uid += len(n)
 
-    return docs.mapInArrow(lambda rows: tidy(run(rows)), "uid long, doc_id long, n long, cls long, first array<long>, bits binary")
+    return docs.mapInArrow(lambda rows: tidy(run(rows)), "uid long, doc_id long, th long, n long, cls long, first array<long>, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, rows: int, k: int) -> np.ndarray:
-    """Shingles of more than FREQUENT of a sample of about SAMPLE documents. They only change the order of shingles, no result."""
-    share = min(1.0, SAMPLE / max(rows, 1))
+    """Shingles of FREQUENT documents or more, estimated from a sample. They only change the order of shingles, no result."""
+    share = min(1.0, max(SHARE, SAMPLE / max(rows, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,32 +115,39 @@ def frequent_shingles(docs: DataFrame, rows: int, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(flat)], ["s"])
 
     sampled = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    least = max(8, int(FREQUENT * min(rows, SAMPLE)))
+    least = max(8, int(FREQUENT * share))
     found = sampled.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= least).select("s").limit(1 << 20).collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of (token, cls) the rows whose token has another class; one pass over sorted rows, whatever a token's number of rows."""
+def _beside(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (token, n, cls) the rows with another of their token beside them whose size fits, and some more at the borders of tasks.
+
+    Sorted by token, size and class, a class without a fitting neighbour has no fitting partner at all. Ranges of all three split
+    a token of any number of rows; the first and the last row of a range stay, whatever lies beyond.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, cls, joined = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        held, first = [np.zeros(0, np.int64)] * 3, True
+        flag = np.zeros(0, bool)
         for batch in batches:
-            t = np.concatenate((token, batch.column(0).to_numpy(zero_copy_only=False)))
-            c = np.concatenate((cls, batch.column(1).to_numpy(zero_copy_only=False)))
-            if not len(t):
+            if not batch.num_rows:
                 continue
-            same = np.zeros(len(t), bool)
-            same[1:] = t[1:] == t[:-1]
-            same[0] = joined
-            both = same.copy()
-            both[:-1] |= same[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(t[:-1][both[:-1]]), pa.array(c[:-1][both[:-1]])], ["token", "cls"])
-            token, cls, joined = t[-1:], c[-1:], bool(same[-1])  # the last row waits for the next batch
-        if joined:
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], ["token", "cls"])
-
-    return rows.repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(run, "token long, cls long")
+            t, n, c = (np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held))
+            keep = np.zeros(len(t), bool)
+            keep[: len(flag)] = flag
+            keep[0] |= first
+            first = False
+            near = (t[1:] == t[:-1]) & (percent * n[1:] <= 100 * n[:-1])
+            keep[1:] |= near
+            keep[:-1] |= near
+            at = np.flatnonzero(keep[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (t, n, c)], ["token", "n", "cls"])
+            held, flag = [x[-1:] for x in (t, n, c)], keep[-1:]  # the last row waits for the next batch
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["token", "n", "cls"])
+
+    ranged = rows.repartitionByRange("token", "n", "cls").sortWithinPartitions("token", "n", "cls")
+    return ranged.mapInArrow(run, "token long, n long, cls long")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -152,10 +169,10 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _passing(tile: np.ndarray, n: np.ndarray, bits: pa.ChunkedArray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _passing(tile: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs within the tiles (rows sorted by tile and n) that size and bitmaps allow, with the bound on their similarity."""
-    flat = np.concatenate([np.frombuffer(b, np.uint64) for b in bits.to_pylist()])
-    width = np.array([0] + [len(b) // 8 for b in bits.to_pylist()], np.int64)
+    flat = np.concatenate([np.frombuffer(b, np.uint64) for b in bits])
+    width = np.array([0] + [len(b) // 8 for b in bits], np.int64)
     start, width = np.cumsum(width)[:-1], width[1:]
     end = np.searchsorted(tile, tile, "right")
     i, d = np.arange(len(tile)), 0
@@ -202,164 +219,298 @@ def _earlier(tile: np.ndarray, mine: list[list[int] | None]) -> list[tuple[int,
     return out
 
 
-def _pairs(tiles: DataFrame, percent: int, by_component: bool) -> DataFrame:
-    """Distinct pairs (a, b) of classes to compare. tiles: tile, n, cls, comp, bits, mine (a class's large tiles, null in others).
-
-    Each class with its most similar partner by the bound, in one of its large tiles and in all others; or, by component, all pairs
-    whose components differ, each in the first large tile that has both.
-    """
+def _partners(tiles: DataFrame, percent: int) -> DataFrame:
+    """tile, n, cls, large, partner, bound: the classes with a passing partner in their tile, and the likeliest. tiles: tile, n, cls, comp, bits, large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_tiles(batches):
             tile, n, cls, comp = (t.column(k).to_numpy() for k in range(4))
-            mine = t.column(5).to_pylist()
-            out: list[tuple[np.ndarray, np.ndarray]] = []
             best, partner = np.zeros(len(cls)), np.full(len(cls), -1)
-            earlier = _earlier(tile, mine) if by_component else []
-            begins = np.array([a for a, _ in earlier], np.int64)
-            ends = np.array([a + len(x) for a, x in earlier], np.int64)
-            for i, j, bound in _passing(tile, n, t.column(4), percent):
-                if not by_component:
-                    other = cls[i] != cls[j]
-                    for x, y in ((i[other], j[other]), (j[other], i[other])):
-                        better = bound[other] > best[x]
-                        best[x[better]], partner[x[better]] = bound[other][better], y[better]
-                    continue
-                differ = comp[i] != comp[j]
-                i, j = i[differ], j[differ]
-                if len(begins) and len(i):
-                    at = np.maximum(np.searchsorted(begins, i, "right") - 1, 0)
-                    large = (begins[at] <= i) & (i < ends[at])
-                    again = np.zeros(len(i), bool)
-                    for k in np.unique(at[large]):
-                        of = np.flatnonzero(large & (at == k))
-                        a, bits = earlier[k]
-                        again[of] = (bits[i[of] - a] & bits[j[of] - a]).any(1)
-                    i, j = i[~again], j[~again]
-                out.append((cls[i], cls[j]))
-            if not by_component:
-                asks = (partner >= 0) & np.array([m is None or m[0] == x for m, x in zip(mine, tile.tolist(), strict=True)], bool)
-                out.append((cls[asks], cls[partner[asks]]))
-            a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in (0, 1))
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    sorted_tiles = tiles.select("tile", "n", "cls", "comp", "bits", "mine").repartition(F.col("tile")).sortWithinPartitions("tile", "n")
-    return sorted_tiles.mapInArrow(lambda rows: tidy(run(rows)), "a long, b long").distinct()
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets, intersected exactly, are similar enough."""
+            for i, j, bound in _passing(tile, n, t.column(4).to_pylist(), percent):
+                other = comp[i] != comp[j]
+                for x, y in ((i[other], j[other]), (j[other], i[other])):
+                    better = bound[other] > best[x]
+                    best[x[better]], partner[x[better]] = bound[other][better], y[better]
+            at = np.flatnonzero(partner >= 0)
+            large = t.column(5).combine_chunks().take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(tile[at]), pa.array(n[at]), pa.array(cls[at]), large, pa.array(cls[partner[at]]), pa.array(best[at])], ["tile", "n", "cls", "large", "partner", "bound"])
+
+    by_tile = tiles.select("tile", "n", "cls", "comp", "bits", "large").repartition(F.col("tile")).sortWithinPartitions("tile", "n")
+    return by_tile.mapInArrow(lambda rows: tidy(run(rows)), "tile long, n long, cls long, large boolean, partner long, bound double")
+
+
+def _apart(tiles: DataFrame, percent: int) -> DataFrame:
+    """The rows (tile, n, cls, comp, large) that have a class of another component and of fitting size in their tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_tiles(batches):
+            tile, n, comp = (t.column(k).to_numpy() for k in (0, 1, 3))
+            m = np.arange(len(tile))
+            new = np.concatenate(([True], (tile[1:] != tile[:-1]) | (comp[1:] != comp[:-1])))
+            run_of = np.cumsum(new) - 1
+            begin = np.flatnonzero(new)
+            end = np.concatenate((begin[1:], [len(tile)]))
+            left, right = begin[run_of] - 1, end[run_of]  # the nearest rows of another component, if of the same tile
+            keep = np.zeros(len(tile), bool)
+            ok = left >= 0
+            keep[ok] |= (tile[left[ok]] == tile[m[ok]]) & (percent * n[m[ok]] <= 100 * n[left[ok]])
+            ok = right < len(tile)
+            keep[ok] |= (tile[right[ok]] == tile[m[ok]]) & (percent * n[right[ok]] <= 100 * n[m[ok]])
+            yield pa.RecordBatch.from_arrays([t.column(k).combine_chunks().filter(pa.array(keep)) for k in range(5)], ["tile", "n", "cls", "comp", "large"])
+
+    by_tile = tiles.select("tile", "n", "cls", "comp", "large").repartition(F.col("tile")).sortWithinPartitions("tile", "n")
+    return by_tile.mapInArrow(run, "tile long, n long, cls long, comp long, large boolean")
+
+
+def _exact(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough, by their exact intersection."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(thin: DataFrame, classes: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """place, n, cls, comp, mark, mine, set for places (cls, place, comp, mark): a class's set, sent to each of its places; mine: its marked ones.
+
+    The sets are made again from the texts of the documents that stand for the classes; the texts don't travel unless the list of
+    places is too large to be sent out.
+    """
+    listed = salted(places, "cls", "place", PLACES)
+    listed = listed.groupBy("cls", "salt").agg(F.collect_list(F.struct("place", "comp", "mark")).alias("places"))
+    listed = cut(listed.join(classes.select("cls", F.col("min_id").alias("id")), "cls").select("id", "cls", "places"))
+    small = sized(listed, weight=F.size("places") * 17 + 40)
+    chosen = thin.join(small, thin["doc_id"].eqNullSafe(small["id"])).select("cls", "places", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
+        names = ["place", "n", "cls", "comp", "mark", "mine", "set"]
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["a", "b"])
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                for cls, mine, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _texts(part), strict=True):
+                    s = shingle_set(text, k)
+                    if not len(s) or _class_of(s) != cls:
+                        continue
+                    raw, marked = s.tobytes(), sorted(p["place"] for p in mine if p["mark"])
+                    for p in mine:
+                        rows.append((p["place"], len(s), cls, p["comp"], p["mark"], marked if p["mark"] else None, raw))
+                        held += len(raw)
+                        if held > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return chosen.mapInArrow(lambda rows: tidy(run(rows)), "place long, n long, cls long, comp long, mark boolean, mine array<long>, set binary")
+
+
+def _together(left: DataFrame) -> DataFrame:
+    """Fewer places for what is left (cls, n, place, comp, mark): tiles that overlap become one place, where a class stands once.
+
+    What overlapping tiles lead to is cut into parts, and each two parts are a place, if there are PARTS at most; else tiles stay.
+    """
+    tiles = left.groupBy("place").agg(F.min("cls").alias("lead"))
+    edges = left.join(tiles, "place").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    label = components(edges).select(F.col("node").alias("cls"), F.col("comp").alias("label"))
+    own = cut(left.select("cls", "n", "comp").distinct().join(label, "cls"))
+    sizes = own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES)).alias("parts"))
+    own = own.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("parts")))
+    wide = own.where(F.col("parts") > PARTS).select("cls")
+    own = own.where(F.col("parts") <= PARTS).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    place = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("place")
+    return own.select("cls", place, "comp", (F.col("parts") > 1).alias("mark")).unionByName(left.join(wide, "cls", "left_semi").select("cls", "place", "comp", "mark"))
 
-    x, y = sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), sets.select(F.col("cls").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+def _asked(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the one marked class of each place and those that ask it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub, hub_cls = None, None, None
+        for batch in batches:
+            a, b = [], []
+            place, cls, mark, raw = (batch.column(k).to_pylist() for k in (0, 2, 4, 6))
+            for p, c, m, r in zip(place, cls, mark, raw, strict=True):
+                s = np.frombuffer(r, np.uint64)
+                if m:
+                    at, hub, hub_cls = p, s, c
+                elif p == at and c != hub_cls and _exact(s, hub, percent):
+                    a.append(min(c, hub_cls))
+                    b.append(max(c, hub_cls))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    by_place = sets.repartition(F.col("place")).sortWithinPartitions(F.col("place"), F.col("mark").desc())
+    return by_place.mapInArrow(lambda rows: tidy(run(rows)), "a long, b long").distinct()
+
+
+def _joined(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, found tile by tile (places): pairs that pass, likeliest first, unless joined already."""
+
+    def links(t: pa.Table) -> tuple[list[int], list[int]]:
+        tile, n, cls, comp = (t.column(k).to_numpy() for k in range(4))
+        mine, raws = t.column(5).to_pylist(), t.column(6).to_pylist()
+        sets = [np.frombuffer(r, np.uint64) for r in raws]
+        earlier = _earlier(tile, mine)
+        begins = np.array([a for a, _ in earlier], np.int64)
+        ends = np.array([a + len(x) for a, x in earlier], np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i, j, bound in _passing(tile, n, [_bitmap(s) for s in sets], percent):
+            keep = comp[i] != comp[j]
+            i, j, bound = i[keep], j[keep], bound[keep]
+            if len(begins) and len(i):
+                at = np.maximum(np.searchsorted(begins, i, "right") - 1, 0)
+                large = (begins[at] <= i) & (i < ends[at])
+                again = np.zeros(len(i), bool)
+                for k in np.unique(at[large]):
+                    of = np.flatnonzero(large & (at == k))
+                    a, bits = earlier[k]
+                    again[of] = (bits[i[of] - a] & bits[j[of] - a]).any(1)
+                i, j, bound = i[~again], j[~again], bound[~again]
+            found.append((i.astype(np.int32), j.astype(np.int32), bound.astype(np.float32)))
+        i, j, bound = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int32) for k in range(3))
+        order = np.argsort(-bound, kind="stable")
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        a, b = [], []
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            cx, cy = find(int(comp[x])), find(int(comp[y]))
+            if cx != cy and _exact(sets[x], sets[y], percent):
+                root[cx] = cy
+                a.append(min(int(cls[x]), int(cls[y])))
+                b.append(max(int(cls[x]), int(cls[y])))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_tiles(b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            a, b = links(t)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    by_tile = sets.repartition(F.col("place")).sortWithinPartitions("place", "n")
+    return by_tile.mapInArrow(lambda rows: tidy(run(rows)), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the smallest node that links (a, b) lead to. Labels spread to neighbours and jump to their labels' labels."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    both = cut_in_loop(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = cut_in_loop(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        now = cut(spread.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")))
+        now = cut_in_loop(spread.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")))
         labels = now.select("node", "comp")
         if now.where(F.col("old") != F.col("comp")).isEmpty():
             return labels
 
 
+def _tile(token: str, band: str, x: Column, y: Column) -> Column:
+    return F.xxhash64(token, band, F.least(x, y), F.greatest(x, y)).alias("tile")
+
+
+def _thin(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+
+
 def join_similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links for every row of docs.
+    """doc_id, n_shingles and component_id for every row of docs.
 
     Two rows link when their sets of shingles of k words have a Jaccard similarity of percent / 100 or more. component_id is the
-    smallest doc_id that links lead to, a row's own included; n_links counts the other sets that a row's set was found linked to
-    (links that would join what is joined already aren't looked for). A text of fewer words is one shingle. A null or empty text
-    has no shingles, links with nothing, and has its own doc_id as component_id. Null doc_ids are larger than all others, and null
-    only where a component has no other. Repeated rows are linked and all returned. Whole texts count, of any length; shingles are
+    smallest doc_id that links lead to, a row's own included. Links are looked for as long as they join something: no link between
+    components is lost, and those within one aren't counted. A text of fewer words is one shingle. A null or empty text has no
+    shingles, links with nothing, and has its own doc_id as component_id. Null doc_ids are larger than all others, and null only
+    where a component has no other. Repeated rows are linked and all returned. Whole texts count, of any length; shingles are
     compared by 64-bit hashes. An empty table gives an empty result; other columns aren't read.
     """
-    ship(docs.sparkSession)
-    thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    signed, of_class = _components_of(_thin(docs, doc_id, text), k, percent)
+    empty = signed.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return signed.where(F.col("cls").isNotNull()).join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def _components_of(thin: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (cls, comp, component_id) for every class; comp tells components apart."""
+    ship(thin.sparkSession)
     signed = cut(signatures(thin, k, percent, frequent_shingles(thin, thin.count(), k)))
     with_set = signed.where(F.col("cls").isNotNull())
-    classes = cut(with_set.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("rep")))
+    classes = cut(with_set.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min("uid").alias("rep")))
     copies = cut(with_set.select("cls", "uid").join(classes, "cls").where(F.col("uid") != F.col("rep")).select("uid"))
-    one = with_set.join(sized(copies), "uid", "left_anti")
+    one = with_set.join(sized(copies, 2_000_000), "uid", "left_anti")
 
-    found = cut(_shared(one.select(F.explode("first").alias("token"), "cls")).distinct())
+    found = cut(_beside(one.select(F.explode("first").alias("token"), "n", "cls"), percent))
     # Shingles that the same classes share need one tile only.
-    tokens = found.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")).where("size > 1")
-    tokens = tokens.groupBy("size", "lo", "hi", "mark").agg(F.min("token").alias("token")).select("token", "size")
-    members = found.join(cut(tokens), "token").select("token", "size", "cls")
-    traits = cut(one.join(members.select("cls").distinct(), "cls", "left_semi").join(classes.select("cls", "min_id"), "cls").select("cls", "n", "bits", "min_id"))
-    members = members.join(traits.select("cls", "n"), "cls")
+    tokens = found.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")).where("size > 1")
+    tokens = tokens.groupBy("size", "weight", "lo", "hi", "mark").agg(F.min("token").alias("token"))
+    parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") * 8 / TILE_BYTES)).cast("long")
+    tokens = cut(tokens.select("token", (F.col("size") > LARGE).alias("large"), parts.alias("parts")))
+    members = found.join(tokens, "token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    parts = F.ceil(F.col("size") / TILE).cast("long")
-    own = F.pmod(F.xxhash64(F.lit(3), "cls"), parts)
-    near = F.when(F.col("size") > TILE, F.array(band - 1, band)).otherwise(F.array(F.lit(-9).cast("long")))
-    tiles = members.select("token", "cls", (F.col("size") > LARGE).alias("large"), own.alias("own"), parts.alias("parts"), F.explode(near).alias("band")).select("token", "cls", "large", "band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    tiles = cut(tiles.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "cls", "large").distinct())
-    lists = tiles.where("large").groupBy("cls").agg(F.sort_array(F.collect_list("tile")).alias("mine"))
-
-    dressed = tiles.join(traits.select("cls", "n", "bits"), "cls").join(lists, "cls", "left").withColumn("mine", F.when(F.col("large"), F.col("mine")))
-    pairs = cut(_pairs(dressed.withColumn("comp", F.col("cls")), percent, False))
-    wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-
-    def sets_of(classes_wanted: DataFrame) -> DataFrame:
-        ids = traits.join(classes_wanted, "cls", "left_semi").select(F.col("min_id").alias("doc_id")).distinct()
-        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        chosen = thin.join(F.broadcast(ids) if small else ids, F.expr("true") & thin["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [shingle_set(t, k) for t in _texts(batch)]
-                sets = [s for s in sets if len(s)]
-                cls = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "set"])
-
-        return chosen.mapInArrow(run, "cls long, set binary").join(classes_wanted, "cls", "left_semi").dropDuplicates(["cls"])
-
-    links = cut(_linked(pairs, sets_of(wanted), percent))
+    near = F.when(F.col("parts") > 1, F.array(band - 1, band)).otherwise(F.array(F.lit(-9).cast("long")))
+    members = cut(members.select("token", "cls", "n", "large", "parts", F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("parts")).alias("own"), F.explode(near).alias("band")))
+
+    bits = one.select("cls", "bits")
+    tiles = members.select(_tile("token", "band", F.col("own"), F.col("own")), "n", "cls", F.col("cls").alias("comp"), "large")
+    passed = cut(_partners(tiles.join(bits, "cls"), percent))
+
+    # Each class asks its likeliest partner; many may ask one, which then stands in many places.
+    asks = passed.groupBy("cls").agg(F.max(F.struct("bound", "partner")).alias("best")).select("cls", F.col("best.partner").alias("hub"))
+    pair = asks.groupBy(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+    asks = cut(salted(pair.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("cls"), "hub"), "hub", "cls", ASKERS))
+    nothing = F.lit(0).cast("long").alias("comp")
+    places = asks.select("cls", F.xxhash64("hub", "salt").alias("place"), nothing, F.lit(False).alias("mark"))
+    hubs = asks.select(F.col("hub").alias("cls"), F.xxhash64("hub", "salt").alias("place"), nothing, F.lit(True).alias("mark")).distinct()
+    links = cut(_asked(_sets(thin, classes, places.unionByName(hubs), k), percent))
     comps = components(links)
-    # Pairs that pass and whose components differ still.
-    dressed = dressed.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    more = cut(_pairs(dressed, percent, True).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        later = cut(_linked(more, sets_of(more.select(F.col("a").alias("cls")).union(more.select("b")).distinct()), percent))
+
+    def with_comp(rows: DataFrame) -> DataFrame:
+        return rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    # Pairs that pass and whose components differ still; those of large tiles' other parts haven't been looked at before.
+    left = _apart(with_comp(passed.select("tile", "n", "cls", "large")), percent)
+    if not members.where("parts > 1").isEmpty():
+        wide = with_comp(members.where("parts > 1"))
+        several = wide.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "band")
+        wide = wide.join(several, ["token", "band"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("own <> other")
+        cross = _apart(wide.select(_tile("token", "band", F.col("own"), F.col("other")), "n", "cls", "comp", "large"), percent)
+        more = _partners(cross.join(bits, "cls"), percent).select("tile", "n", "cls", "large")
+        left = left.unionByName(with_comp(more).select(*left.columns))
+    left = cut(left.select("cls", "n", F.col("tile").alias("place"), "comp", F.col("large").alias("mark")))
+    if not left.isEmpty():
+        later = cut(_joined(_sets(thin, classes, _together(left), k), percent))
         if not later.isEmpty():
             links = links.unionByName(later)
             comps = components(links)
 
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left").select("cls", "min_id", F.coalesce("comp", "cls").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    smallest = of_class.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    of_class = cut(of_class.join(smallest, "comp").select("cls", "component_id", "n_links"))
-    empty = signed.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return signed.where(F.col("cls").isNotNull()).join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
+    labelled = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "min_id", F.coalesce("comp", "cls").alias("comp"))
+    smallest = labelled.groupBy("comp").agg(F.min("min_id").alias("component_id"))
+    return signed, cut(labelled.join(smallest, "comp").select("cls", "comp", "component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but of each component of join_similar only the row with the smallest doc_id.
+    """The rows of docs, with all their columns, but of each component of join_similar one row only.
 
-    Of rows with one doc_id and one text one stays. Rows without a doc_id, and those without words, stay. Otherwise as there.
+    That with the smallest doc_id stays (null is larger than all others), of several the one whose text has the smallest hash, of
+    repeated rows one. Rows without a doc_id, and those without words, stay. Rows are judged one by one, also where they share a
+    doc_id. Otherwise as there.
     """
-    found = cut(join_similar(docs, k, percent, doc_id, text))
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    out = docs.join(sized(gone.select(F.col("doc_id").alias("__gone"))), F.col(doc_id) == F.col("__gone"), "left_anti")
-    again = cut(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
+    signed, of_class = _components_of(_thin(docs, doc_id, text), k, percent)
+    rows = signed.where(F.col("cls").isNotNull()).join(of_class, "cls").select("comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("row"))
+    rows = cut(rows.groupBy("comp", "row").agg(F.count(F.lit(1)).alias("n")))
+    best = rows.groupBy("comp").agg(F.min("row").alias("best"))
+    rows = rows.join(best, "comp").select((F.col("row") == F.col("best")).alias("stays"), F.col("row.doc_id").alias("__id"), F.col("row.th").alias("__th"), "n").where("__id is not null")
+
+    def named(chosen: DataFrame) -> DataFrame:
+        return sized(cut(chosen.select("__id", "__th")), weight=F.lit(40))
+
+    def same(other: DataFrame) -> Column:
+        return F.col(doc_id).cast("long").eqNullSafe(other["__id"]) & (F.xxhash64(F.col(text)) == other["__th"])
+
+    gone, again = named(rows.where("not stays")), named(rows.where("stays and n > 1"))
+    out = docs.join(gone, same(gone), "left_anti")
     if again.isEmpty():
         return out
-    again = sized(again)
-    apart = out.join(again, F.col(doc_id) == F.col("__again"), "left_anti")
-    return apart.unionByName(out.join(again, F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id, text]))
+    apart = out.join(again, same(again), "left_anti")
+    return apart.unionByName(out.join(again, same(again), "left_semi").dropDuplicates([doc_id, text]))

@@ -61,3 +61,47 @@ def test_edges(spark):
     assert sorted([(r.doc_id or 0) for r in kept]) == [0, 3, 5]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.join_similar(none).collect() == []
+
+
+def test_group_just_under_the_threshold(spark):
+    """Many sets that pass the bitmap bound and don't link, a few that do, and one that a third of all rows are copies of."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(260):
+        w = list(base)
+        for at in rnd.sample(range(150), 3):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base)] * 130
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(docs, 4, 85).collect()}
+    assert got == brute(texts, 4, 85)
+
+
+def test_one_of_each_judges_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (2, a + " more", "y"), (2, b, "z"), (3, c, "u"), (3, c, "u"), (3, c + " more", "v"), (None, b + " more", "w"), (None, None, "n"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    assert sorted((r.doc_id or 0, r.text or "", r.th) for r in jaccard_join.one_of_each(docs).collect()) == sorted([(0, "", "n"), (0, "", "n"), (0, b + " more", "w"), (1, a, "x"), (2, b, "z"), (3, min([c, c + " more"], key=lambda t: kept(spark, t)), "v" if kept(spark, c + " more") < kept(spark, c) else "u")])
+
+
+def kept(spark, text):
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
+def test_long_texts(spark):
+    """Texts whose sets are larger than the largest bitmap."""
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(10**5)}" for _ in range(120_000)]
+    near, far = list(words), list(words)
+    for at in rnd.sample(range(len(words)), 3000):
+        near[at] = "n"
+    for at in rnd.sample(range(len(words)), 8000):
+        far[at] = "f"
+    texts = [" ".join(w) for w in (words, near, far)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(docs, 4, 85).collect()}
+    assert got == brute(texts, 4, 85)
