@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
-from tablewright.llm.common import shared_dir, table
+from tablewright.llm.common import cut, remove, shared_dir, table
 from tablewright.llm.queries import vocabulary
 
 
@@ -57,11 +57,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder as Parquet and read again by the next."""
+    """All stages, each written to the shared folder as Parquet and read again by the next; what they wrote is removed in the end.
+
+    Null and empty texts have no words and go in the first stage, as quality rules say; a null source is a source of its own. Repeated
+    rows are near duplicates of one another. Further columns travel along up to the last stage. An empty table gives an empty result.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, folder)
+    return out

@@ -31,7 +31,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 ODD_WHITE = re.compile(r"\s(?:\s|\Z)|\A\s")
 #: Marks that never join the letters before them.
 MARKS = frozenset(".,;:!?)")
-BLOCK_CHARS, CACHED = 6 << 20, 300_000
+BLOCK_CHARS, CACHED = 1 << 20, 100_000
 #: Number of ids, the ids joined by commas, the bytes that they decode to.
 Entry = tuple[int, str, bytes]
 KINDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
@@ -262,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", carry: tupl
 
     path: a byte-level BPE vocabulary in the JSON form of the tokenizers library, read on the driver. Special tokens that stand in
     a text are encoded as such, and none are added. decoded is what the ids decode to. A null text is encoded as an empty one: no
-    ids. Texts of any length are encoded whole; rows are worked on in blocks of about six million characters. An empty table gives
+    ids. Texts of any length are encoded whole; rows are worked on in blocks of about a million characters. An empty table gives
     an empty result. A carried column that has the name of an output is an error; other columns are not read.
     """
     if clash := set(carry) & set(outputs):

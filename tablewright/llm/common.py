@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 #: What is sent out to all executors holds so many bytes at most, as estimated from its rows.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_in_loop(df: DataFrame) -> DataFrame:
     """cut() for a loop: forgets what the plan was estimated to hold, too. Estimates multiply at joins; their digits double each time."""
     out, spark = cut(df), df.sparkSession

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, shared_dir, ship
+from tablewright.llm.common import cut, remove, shared_dir, ship
 
 MAGIC, GAP = "WARC/1.0\r\n", "\r\n\r\n"
 LEAST_BYTES = 1000
@@ -184,6 +184,5 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html") ->
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, key=key, payload=payload)
     out = cut(read_archives(spark, path))
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
     return out
