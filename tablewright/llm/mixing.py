@@ -8,27 +8,48 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import cut, key_of, word_count
 
 ROUNDS = 8
+#: Rows that one window without a key may hold.
+FEW = 100_000
 #: A word with the white space after it, the first one also with what is before it.
 WORD = r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
+def running(rows: DataFrame, n: int, order: list[Column], **sums: str) -> DataFrame:
+    """rows with, for each name in sums, the sum of that column over the rows before, in this order.
+
+    Up to FEW rows (n: their number) are one window. More are cut into ranges: sums of the ranges, then sums within a range; no task
+    sees more than a range, or one row for each range.
+    """
+    before = Window.unboundedPreceding
+    if n <= FEW:
+        w = Window.orderBy(*order).rowsBetween(before, -1)
+        return rows.withColumns({k: F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in sums.items()})
+    ranged = cut(rows.repartitionByRange(max(2, 2 * n // FEW), *order).withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__of_{k}") for k, v in sums.items()])
+    w = Window.orderBy("__range").rowsBetween(before, -1)
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__of_{k}").over(w), F.lit(0)).alias(f"__to_{k}") for k in sums])
+    w = Window.partitionBy("__range").orderBy(*order).rowsBetween(before, -1)
+    out = ranged.join(totals, "__range").withColumns({k: F.col(f"__to_{k}") + F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in sums.items()})
+    return out.drop("__range", *[f"__to_{k}" for k in sums])
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source: source_size, n_docs and target.
 
     Sources in order of code points, null last, take the weights in turn and share `share` times all sizes by weight; no target is
     over `most` times its source's size, and what is over is shared again. Sorted by the level at which a source is full, the final
-    level is the largest of the levels reached when all sources before one are full. One row per source is all that is gathered.
+    level is the largest of the levels reached when all sources before one are full.
     """
-    sources = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(order - 1, F.lit(len(weights))).cast("int") + 1))
-    sources = sources.withColumn("full", F.lit(most) * F.col("source_size"))
-    by_level = Window.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    level = (F.lit(share) * F.sum("source_size").over(everything) - F.sum("full").over(by_level.rowsBetween(Window.unboundedPreceding, 0)) + F.col("full")) / (F.sum("weight").over(everything) - F.sum("weight").over(by_level.rowsBetween(Window.unboundedPreceding, 0)) + F.col("weight"))
-    sources = sources.withColumn("level", level)
-    sources = sources.withColumn("level", F.max("level").over(everything))
-    return sources.select("skey", "source", "source_size", "n_docs", "weight", F.least(F.col("full"), F.col("level") * F.col("weight")).alias("target"))
+    sources = cut(sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).withColumn("one", F.lit(1)))
+    total = sources.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("size")).first()
+    sources = running(sources, total["n"], [F.col("source").asc_nulls_last()], rank="one")
+    sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod("rank", F.lit(len(weights))).cast("int") + 1))
+    sources = cut(sources.withColumn("full", F.lit(most) * F.col("source_size")))
+    of_all = sources.agg(F.sum("weight").alias("weight")).first()["weight"] or 0
+    filled = running(sources, total["n"], [(F.col("full") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], full_before="full", weight_before="weight")
+    reached = (F.lit(share * total["size"]) - F.col("full_before")) / (F.lit(of_all) - F.col("weight_before"))
+    level = filled.agg(F.max(reached)).first()[0] or 0.0
+    return sources.select("skey", "source", "source_size", "n_docs", "weight", F.least(F.col("full"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def permuted(index: Column, n: Column, *key: Column) -> Column:
@@ -47,10 +68,12 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed: int
     documents: doc_id, source, size (words), source_size, target, taken (words that the mix takes, repeats counted); one row per
     row of docs. pieces: which words of a document lie in which block of its source. slots: shard, source, block; joined with
     pieces by block they are the mix. The documents of a source are packed end to end into blocks of `block` words, the last one
-    shorter. A source takes slots in proportion to its target, at most `most` for each block; each slot falls to an output shard by
-    a seeded hash, which draws the shards' counts from a multinomial distribution that keeps each source's total. Slot j of a
-    source is block j mod n of a permutation that has its own key for every pass. All draws follow from the seed, so reruns agree.
-    Null and empty texts have size 0 and are never taken; a null source is a source of its own. Empty tables give empty results.
+    shorter. A source has places in proportion to its target, at most `most` for each block. Output shards hold slots_per_shard
+    places, the last one fewer. How many of each source a shard gets is drawn: a seeded permutation of all places deals them to the
+    shards, so the counts are multinomial given every source's total. These counts, taken shard by shard, give a source its slots:
+    slot j is block j mod n of a permutation that has its own key for every pass. All draws follow from the seed, so reruns agree.
+    Null and empty texts have size 0 and are never taken; a null source is a source of its own. Repeated rows are documents of their
+    own. Other columns of docs aren't read. Empty tables give empty results.
     """
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), key_of(F.col("source")).alias("skey"), word_count(F.col(text)).alias("size")))
     targets = cut(source_targets(sized, weights, share, most))
@@ -73,14 +96,24 @@ def mix(docs: DataFrame, block: int = 64, slots_per_shard: int = 4096, seed: int
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.select("doc_id", "skey", "size", "start", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("n_words"))
 
-    # Slots in runs, so that no row grows with its source.
-    run, n_shards = 8192, max(1, -(-all_slots // slots_per_shard))
-    runs = plans.where("n_slots > 0").select("skey", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / run))).alias("run")).repartition(max(1, min(4096, -(-all_slots // (8 * run)))), "skey", "run")
-    slots = runs.select("skey", "n_blocks", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("n_slots")) - 1)).alias("slot"))
-    slots = slots.select(
-        F.pmod(F.xxhash64(F.lit(seed), "skey", "slot"), F.lit(n_shards)).alias("shard"), "skey", "slot",
-        permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.lit(seed + 1), F.xxhash64("skey", F.floor(F.col("slot") / F.col("n_blocks")))).alias("block"),
-    )
+    # How many places of a source each shard gets. Places in runs, so that no row grows with its source.
+    run, tasks = 8192, max(1, min(4096, -(-all_slots // (8 * 8192))))
+    held = cut(plans.where("n_slots > 0").select("skey", "n_blocks", "n_slots"))
+    held = cut(running(held, held.count(), [F.col("skey").asc()], place="n_slots"))
+    runs = held.select("skey", "place", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / run))).alias("run")).repartition(tasks, "skey", "run")
+    dealt = runs.select("skey", F.explode(F.sequence(F.col("place") + F.col("run") * run, F.col("place") + F.least((F.col("run") + 1) * run, F.col("n_slots")) - 1)).alias("place"))
+    at = permuted(F.col("place").cast("long"), F.lit(all_slots).cast("long"), F.lit(seed))
+    counts = cut(dealt.select("skey", F.floor(at / slots_per_shard).cast("long").alias("shard")).groupBy("skey", "shard").agg(F.count(F.lit(1)).alias("drawn")))
+    # Where a shard's slots begin among those of a source: sums of groups of shards, then sums within a group.
+    counts = counts.withColumn("group", F.floor(F.col("shard") / run).cast("long"))
+    groups = counts.groupBy("skey", "group").agg(F.sum("drawn").alias("of_group"))
+    earlier = Window.partitionBy("skey").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("skey", "group", F.coalesce(F.sum("of_group").over(earlier), F.lit(0)).alias("group_start"))
+    earlier = Window.partitionBy("skey", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))).join(groups, ["skey", "group"])
+    starts = starts.join(held.select("skey", "n_blocks"), "skey").select("skey", "shard", "n_blocks", "drawn", (F.col("group_start") + F.col("start")).alias("start")).repartition(tasks, "skey", "shard")
+    slots = starts.select("skey", "shard", "n_blocks", F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1)).alias("slot"))
+    slots = slots.select("shard", "skey", "slot", permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.lit(seed + 1), F.xxhash64("skey", F.floor(F.col("slot") / F.col("n_blocks")))).alias("block"))
     uses = slots.groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"))
     taken = pieces.join(uses, ["skey", "block"]).groupBy("skey", "start", "doc_id").agg(F.sum(F.col("n_words") * F.col("uses")).alias("taken"))
     rows_of = placed.join(taken.withColumnRenamed("doc_id", "taken_id"), ["skey", "start"], "left").select("doc_id", "skey", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -94,8 +127,11 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
     A row appears once with its words that the mix takes at all, once more with those that it takes twice, and so on: the words
     written are those of mix()'s slots, no more and no fewer. White space stays as it was; a text that is taken whole is unchanged.
-    Rows that the mix takes nothing of, and rows without words, don't appear. Otherwise as mix().
+    Rows that the mix takes nothing of, and rows without words, don't appear. Columns of docs whose names begin with two underscores
+    are an error. Otherwise as mix().
     """
+    if clash := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns with reserved names: {clash}")
     _, pieces, slots = mix(docs, text=text, **how)
     uses = slots.groupBy("skey", "block").agg(F.count(F.lit(1)).cast("int").alias("uses"))
     part = F.struct(F.col("first_word").cast("int").alias("first_word"), F.col("n_words").cast("int").alias("n_words"), F.coalesce("uses", F.lit(0)).alias("uses"))
