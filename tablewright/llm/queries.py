@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import ann, bpe, jaccard_join, langid, mixing, quality, sharding, suffix_dedup, url_filter, warc
-from tablewright.llm.common import cut, table
+from tablewright.llm.common import cut, remove, shared_dir, table
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -59,10 +60,16 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents go through both passes to disk; the columns are taken from what is read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("size", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"))
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path)
     text = F.coalesce("text", F.lit(""))
-    thin = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"))
-    out = sharding.shuffled_shards(cut(thin))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), "slot", F.col("grown_shard").cast("int"))
+    back = sharding.read_shards(spark, path, docs)
+    out = cut(back.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"))
+    remove(spark, path)
+    return out
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut
+from tablewright.llm.common import cut, sized
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -14,36 +14,44 @@ def shard_of(key: Column, n_shards: int, seed: int) -> Column:
     return F.array_max(scored)["i"]
 
 
-def shuffled_shards(records: DataFrame, key: str = "doc_id", size: str = "size", n_shards: int = 16, seed: int = 17, bucket_bytes: int = 32 << 20) -> DataFrame:
+def shuffled_shards(records: DataFrame, key: str = "doc_id", size: str = "size", n_shards: int = 16, seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Adds shard, bucket, slot and grown_shard to records; all rows and other columns stay.
 
     The key and the number of shards decide the shard, so rows of one key stay together, and grown_shard is the shard with one
     shard more: either the same or the new one. Pass one sends each record to a bucket of its shard by a seeded hash of the whole
     record, as many buckets as hold bucket_bytes each on average; pass two shuffles every bucket with Fisher-Yates and numbers the
-    rows without gaps from 0 in each shard. Null keys are one key. Equal rows may be exchanged for one another, nothing else
-    varies between runs on the same partitions. An empty table gives an empty result. Columns named shard, bucket, slot or
-    grown_shard are replaced.
+    rows without gaps from 0 in each shard. Copies of a record that would fill a quarter of a bucket are numbered, and the number
+    goes into the hash. Null keys are one key, null sizes count nothing. Equal rows may be exchanged for one another, and the order
+    within a bucket depends on Spark's partitions; nothing else varies between runs. An empty table gives an empty result. Columns
+    named shard, bucket, slot or grown_shard are replaced.
     """
-    made = ("shard", "bucket", "slot", "grown_shard")
-    records = records.drop(*made)
-    total = records.agg(F.sum(F.col(size).cast("long"))).first()[0] or 0
-    per_shard = max(1, -(-total // (n_shards * bucket_bytes)))
-    scattered = records.select(
-        F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record"),
-        shard_of(F.col(key), n_shards, seed).alias("shard"),
-        shard_of(F.col(key), n_shards + 1, seed).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in records.columns]), F.lit(per_shard)).cast("long").alias("bucket"),
-    )
-    buckets = scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("record", "grown_shard"))).alias("rows"))
-    # Sorted rows and sorted buckets: the seeded generator, which runs through a partition, meets them in one order only.
-    mixed = cut(buckets.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", F.lit(seed + 2)).alias("rows")))
+    records = records.drop("shard", "bucket", "slot", "grown_shard")
+    columns = [F.col(f"`{c}`") for c in records.columns]
+    sized_rows = records.select(F.struct(*columns).alias("record"), F.xxhash64(F.lit(seed + 1), *columns).alias("hash"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("bytes"), shard_of(F.col(key), n_shards, seed).alias("shard"))
+    hot = cut(sized_rows.groupBy("hash").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > bucket_bytes // 4) & (F.col("n") > 1)).select("hash"))
+    if not hot.isEmpty():
+        hot = sized(hot)
+        copies = sized_rows.join(hot, "hash", "left_semi").groupBy("record", "hash", "bytes", "shard").agg(F.count(F.lit(1)).alias("n"))
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("hash", F.xxhash64("hash", "copy"))
+        sized_rows = sized_rows.join(hot, "hash", "left_anti").unionByName(copies.select("record", "hash", "bytes", "shard"))
+    per_shard = cut(sized_rows.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / bucket_bytes)).cast("long").alias("buckets")))
+    scattered = sized_rows.join(sized(per_shard), "shard").select("shard", F.pmod("hash", "buckets").alias("bucket"), "record")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = mixed.select("shard", "bucket", F.size("rows").cast("long").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
-    rows = mixed.join(starts.select("shard", "bucket", "start"), ["shard", "bucket"]).select("shard", "bucket", "start", F.posexplode("rows").alias("at", "row"))
-    return rows.select("row.record.*", "shard", "bucket", (F.col("start") + F.col("at")).alias("slot"), F.col("row.grown_shard").alias("grown_shard"))
+    counts = scattered.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = cut(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start")))
+    # Rows sorted before they are shuffled: their order on arrival, which varies, doesn't count.
+    mixed = scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("record")).alias("rows")).select("shard", "bucket", F.shuffle("rows", F.lit(seed + 2)).alias("rows"))
+    rows = mixed.join(sized(starts), ["shard", "bucket"]).select("shard", "bucket", "start", F.posexplode("rows").alias("at", "record"))
+    grown = shard_of(F.col(f"record.`{key}`"), n_shards + 1, seed)
+    return rows.select("record.*", "shard", "bucket", (F.col("start") + F.col("at")).alias("slot"), grown.alias("grown_shard"))
 
 
 def write_shards(records: DataFrame, path: str, **how) -> None:
-    """The second pass to disk: one folder of Parquet per shard, rows in order of their slots."""
-    out = shuffled_shards(records, **how)
-    out.repartition(F.col("shard"), F.col("bucket")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Both passes, the second one to disk: a folder of Parquet for each shard, in files of whole buckets, rows in order of slots."""
+    shuffled_shards(records, **how).write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What write_shards wrote: like's columns, shard, bucket, slot and grown_shard. An empty table, of which nothing was written, gives none."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.drop("shard", "bucket", "slot", "grown_shard").schema.fields)
+    return spark.read.schema(f"{kinds}, bucket long, slot long, grown_shard int, shard int").parquet(path)

@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
 
     def contexts_of(places: DataFrame) -> DataFrame:
         asked = cut(places.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("f", "n", "c", "uid", "pos")).alias("asked")))
-        texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(sized(asked, 100_000), F.col("id").eqNullSafe(F.col("doc_id"))).select("sha", "asked", "text")
+        texts_of = docs.select(F.col("doc_id").alias("id"), "text").join(sized(asked, weight=F.size("asked") * 40 + 96), F.col("id").eqNullSafe(F.col("doc_id"))).select("sha", "asked", "text")
         return texts_of.mapInArrow(contexts, "f long, n long, c long, uid long, pos long, off long, ctx binary")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     carry = [c for c in docs.columns if c != text and c not in outputs]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__carry"), F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = rows.withColumn("__sha", F.sha2(F.col("__text").cast("binary"), 256))
-    small = sized(spans.select(F.col("doc_id").alias("d"), "sha", "spans"), 200_000)
+    small = sized(spans.select(F.col("doc_id").alias("d"), "sha", "spans"), weight=F.size("spans") * 16 + 96)
     rows = rows.join(small, (F.col("__sha") == F.col("sha")) & F.col("__id").eqNullSafe(F.col("d")), "left").select("__carry", "__sha", "spans", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
