@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import ship
+from tablewright.llm.common import cut, ship, sized
 
 BUCKETS, DIM = 1 << 14, 16
 LETTER = regex.compile(r"\p{L}")
@@ -105,15 +105,19 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 1.0, seed:
     return Model(languages, (e @ w).astype(np.float64), bias, float(temperature), min(threshold, 1.0))
 
 
-def training_rows(docs: DataFrame, per_language: int = 1000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """A sample of about per_language labelled texts of each language, at most twice as many, chosen by a hash of the key."""
+def training_rows(docs: DataFrame, per_language: int = 1000, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 200_000) -> list[tuple[str, str]]:
+    """A sample of about per_language labelled texts of each language, at most twice as many, chosen by a hash of the key.
+
+    Every language takes part. If there are so many that the sample would be over `most` rows, each gets fewer, one on average at
+    least.
+    """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(200).collect()}
-    shares = F.create_map(*[F.lit(v) for name, n in sorted(counts.items()) for v in (name, min(1.0, per_language / n))]) if counts else None
-    if shares is None:
-        return []
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(11), F.col("k").cast("string")), F.lit(1_000_000)) < F.get(F.array(F.element_at(shares, F.col("l"))), F.lit(0)) * 1_000_000)
-    rows = drawn.limit(2 * per_language * len(counts)).collect()
+    counts = cut(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+    n = counts.count()
+    each = max(1, min(per_language, most // max(n, 1)))
+    hashed = F.pmod(F.xxhash64(F.lit(11), F.col("k").cast("string")), F.lit(1_000_000))
+    drawn = labelled.join(sized(counts), "l").where(hashed < F.lit(each * 1e6) / F.col("n"))
+    rows = drawn.select("t", "l").limit(2 * each * n).collect() if n else []
     return sorted([(r["t"], r["l"]) for r in rows if LETTER.search(r["t"])])
 
 
@@ -121,8 +125,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: tup
     """The carried columns, lang_pred, score (0 to 1) and rejected (score under the calibrated threshold).
 
     A text that is null or has no letter, and every text if nothing was learned, gets und, score 0 and rejected. Whole texts count,
-    of any length. Equal texts get equal results. An empty table gives an empty result; columns not carried are not read.
+    of any length. Equal texts get equal results. An empty table gives an empty result; columns not carried are not read. A carried
+    column that has the name of an output is an error.
     """
+    if clash := set(carry) & {"lang_pred", "score", "rejected"}:
+        raise ValueError(f"columns named like outputs: {sorted(clash)}")
     ship(docs.sparkSession)
     fields = {f.name: f for f in docs.schema.fields}
 

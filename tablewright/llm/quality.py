@@ -60,7 +60,8 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", m
 
     A document is kept unless it fails by itself or its host's shrunk failure rate is over max_rate. A null or empty text has no
     words and fails. A null host is a host of its own. Repeated rows are judged row by row and all of them count for their host.
-    An empty table gives an empty result. Columns of docs beside the carried ones are not read.
+    An empty table gives an empty result. Columns of docs beside the carried ones are not read; carried ones named like a result are
+    replaced by it. Texts of any length count whole.
     """
     thin = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(carry)], F.col(host).alias("__host"), F.col(text).alias("__text"))
     judged = cut(document_features(thin, "__text").drop("__text"))

@@ -198,3 +198,30 @@ def test_neighbours_in_a_dense_group(spark):
         s = x.astype(np.float64) @ x[q].astype(np.float64)
         hits += len(found[q] & set([i for i in np.lexsort((np.arange(9000), -s)) if i != q][:20]))
     assert hits / (20 * 100) >= 0.95, hits / (20 * 100)
+
+
+def test_neighbours_of_doubles(spark):
+    """Scores are those of the vectors as they are, also where single precision can't hold them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8)) * 1e60
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(docs).collect()
+    assert len(got) == 15 * 20
+    for r in got:
+        assert abs(r.score - x[r.query_id] @ x[r.vec_id]) <= 1e-12 * abs(r.score)
+    assert all(r.vec_id == max((i for i in range(300) if i != r.query_id), key=lambda i: x[r.query_id] @ x[i]) for r in got if r.rank == 1)
+
+
+def test_every_language_is_learned(spark):
+    """Over 200 languages, each with its own letters; a long text; names that clash."""
+    letters = [chr(0x4E00 + i) for i in range(230)]
+    rows = [(1000 * i + k, (c + " ") * 6, f"l{i:03}") for i, c in enumerate(letters) for k in range(8)] + [(10**7, "\u4e05 " * 700_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {lang for _, lang in langid.training_rows(docs)}
+    assert len(learned) == 230
+    small = langid.training_rows(docs, most=500)
+    assert len(small) <= 2 * 2 * 230
+    out = {r.doc_id: r for r in langid.identify(docs.where("doc_id < 20000 or doc_id = 10000000")).collect()}
+    assert out[10**7].lang_pred == "l005" and len(out) == 20 * 8 + 1
+    with pytest.raises(ValueError):
+        langid.predict(docs.withColumnRenamed("lang", "score"), None, carry=("doc_id", "score"))
