@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, ship
+from tablewright.llm.common import cut, cut_in_loop, ship
 
-#: Neighbours of a node, of those it is a neighbour of, tables of cells, nodes in a cell, rounds, and nodes scored in one task.
-DEGREE, REVERSE, TABLES, CELL, ROUNDS, BLOCK = 24, 16, 8, 384, 4, 4096
+#: Neighbours of a node, of those it is a neighbour of, tables of cells, nodes in a cell, and nodes scored in one task.
+DEGREE, REVERSE, TABLES, CELL, BLOCK = 24, 16, 8, 384, 4096
+#: Rounds go on until one changes less than this share of all neighbours, and end after so many.
+SETTLED, ROUNDS = 0.05, 16
 LIST = "array<long>"
 
 
@@ -29,9 +31,10 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vec, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array, dtype: type = np.float64) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
-    return flat.reshape(len(column), -1)
+def _matrix(column: pa.Array, scale: float | None = None) -> np.ndarray:
+    """The vectors in double precision; or, with scale, divided by it and in single precision, for the graph."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return (flat if scale is None else (flat / scale).astype(np.float32)).reshape(len(column), -1)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -78,13 +81,13 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, late: np.ndarra
     return order[at < k]
 
 
-def _cells(nodes: DataFrame, n: int, dim: int) -> DataFrame:
+def _cells(nodes: DataFrame, n: int, dim: int, scale: float) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1.0, n / CELL)))))
     planes = np.random.default_rng(1).normal(size=(TABLES, dim, max(bits, 1))).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), np.float32)
+            v = _matrix(batch.column(1), scale)
             for t in range(TABLES if bits else 1):
                 code = ((v @ planes[t] > 0) @ (1 << np.arange(max(bits, 1)))).astype(np.int64) if bits else np.zeros(len(v), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(code * TABLES + t), batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["cell", "id", "v"])
@@ -125,7 +128,7 @@ def _merged(graph: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "v", "near", "scores", "fresh"])
 
     joined = graph.join(lists, "id", "left").select("id", "v", "near", "scores", "ys", "ss")
-    return cut(joined.mapInArrow(run, f"id long, v binary, near {LIST}, scores array<float>, fresh array<boolean>"))
+    return cut_in_loop(joined.mapInArrow(run, f"id long, v binary, near {LIST}, scores array<float>, fresh array<boolean>"))
 
 
 def _brought_together(graph: DataFrame) -> DataFrame:
@@ -150,18 +153,21 @@ def _brought_together(graph: DataFrame) -> DataFrame:
     return found.groupBy("id", "y").agg(F.max("s").alias("s"))
 
 
-def build_graph(nodes: DataFrame, n: int, dim: int, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, dim: int, scale: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
     """id and near: each node's neighbours and the best of those it is a neighbour of, 2 * DEGREE at most."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), np.float32)
+            v = _matrix(batch.column(1), scale)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "v"])
 
     graph = nodes.select("id", "vec").mapInArrow(whole, "id long, v binary").withColumns({"near": F.array().cast(LIST), "scores": F.array().cast("array<float>")})
-    graph = _merged(graph, _start(_cells(nodes, n, dim)))
+    graph = _merged(graph, _start(_cells(nodes, n, dim, scale)))
     for _ in range(rounds):
         graph = _merged(graph, _brought_together(graph))
+        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
+        if changed < SETTLED * DEGREE * n:
+            break
     edges = graph.select("id", F.inline(F.arrays_zip("near", "scores")))
     back = edges.withColumn("r", F.row_number().over(Window.partitionBy("near").orderBy(F.desc("scores"), "id"))).where(F.col("r") <= DEGREE)
     both = edges.select("id", "near").unionByName(back.select(F.col("near").alias("id"), F.col("id").alias("near")))
@@ -188,28 +194,48 @@ def _scored(work: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], ["q", "ids", "scores"])
         ids = right.column("id").to_numpy()
         order = np.argsort(ids)
-        v, ids = _matrix(right.column("vec").combine_chunks(), np.float32)[order], ids[order]
-        qvec, least = _matrix(left.column("qvec").combine_chunks(), np.float32), left.column("least").to_numpy()
+        v, ids = _matrix(right.column("vec").combine_chunks())[order], ids[order]
+        qvec, least = _matrix(left.column("qvec").combine_chunks()), left.column("least").to_numpy()
         cands, rows = _lists(left.column("cands").combine_chunks())
         at = np.minimum(np.searchsorted(ids, cands), len(ids) - 1)
         fits = ids[at] == cands
         at, rows = at[fits], rows[fits]
         scores = np.empty(len(at))
         for a in range(0, len(at), 16384):
-            scores[a : a + 16384] = (v[at[a : a + 16384]].astype(np.float64) * qvec[rows[a : a + 16384]]).sum(1)
+            scores[a : a + 16384] = (v[at[a : a + 16384]] * qvec[rows[a : a + 16384]]).sum(1)
         good = scores > least[rows]
         return pa.table([left.column("q").combine_chunks(), _as_lists(rows[good], n, ids[at[good]], pa.int64()), _as_lists(rows[good], n, scores[good], pa.float64())], ["q", "ids", "scores"])
 
-    parts = work.select("q", "qvec", "least", "cands").mapInArrow(split, f"block long, q long, qvec array<float>, least double, cands {LIST}")
+    parts = work.select("q", "qvec", "least", "cands").mapInArrow(split, f"block long, q long, qvec {work.schema['qvec'].dataType.simpleString()}, least double, cands {LIST}")
     both = parts.groupBy("block").cogroup(nodes.select(F.pmod("id", F.lit(blocks)).alias("block"), "id", "vec").groupBy("block"))
     return both.applyInArrow(run, f"q long, ids {LIST}, scores array<double>")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, n: int, ef: int, starts: list[int]) -> DataFrame:
-    """q, ids, scores: for queries (q, qvec), which are nodes, the ef best nodes found, best first, q's own among them."""
-    blocks = max(1, n // BLOCK)
-    state = queries.select("q", "qvec", F.array("q").alias("front"), F.array().cast(LIST).alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("done"))
-    extra = F.array(*[F.lit(s).cast("long") for s in starts]) if starts else F.array().cast(LIST)
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, n: int, ef: int, starts: list[tuple[int, list[float]]]) -> DataFrame:
+    """q, ids, scores: for queries (q, qvec), which are nodes, the ef best nodes found, best first, q's own among them.
+
+    starts: a few nodes with their vectors, which travel with the tasks; every query scores them first.
+    """
+    blocks, kind = max(1, n // BLOCK), queries.schema["qvec"].dataType.simpleString()
+    schema = f"q long, qvec {kind}, front {LIST}, ids {LIST}, scores array<double>, done array<boolean>"
+    first_ids, first = np.array([s[0] for s in starts], np.int64), np.array([s[1] for s in starts], np.float64)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            q, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            rows, ids = np.repeat(np.arange(m), len(first_ids)), np.tile(first_ids, m)
+            scores = np.concatenate([(first * x).sum(1) for x in v]) if len(first_ids) else np.zeros(0)
+            other = ids != q[rows]
+            rows, ids, scores = rows[other], ids[other], scores[other]
+            at = _best(rows, ids, scores, np.zeros(len(rows), bool), ef)
+            rows, ids, scores = rows[at], ids[at], scores[at]
+            lists = [_as_lists(np.arange(m), m, q, pa.int64()), _as_lists(rows, m, ids, pa.int64()), _as_lists(rows, m, scores, pa.float64()), _as_lists(rows, m, np.zeros(len(rows), bool), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["q", "qvec", "front", "ids", "scores", "done"])
+
+    state = cut(queries.select("q", "qvec").mapInArrow(begin, schema))
     step, width = 0, ef // 4
 
     def advance(k: int):
@@ -233,26 +259,33 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, n: int, ef: i
         fronts = state.select("q", F.explode("front").alias("id")).join(graph, "id").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("cands"))
         work = state.join(fronts, "q", "left" if step == 0 else "inner")
         cands = F.coalesce("cands", F.array().cast(LIST))
-        work = work.select("q", "qvec", least.alias("least"), F.array_except(F.array_union(F.array_union(cands, extra), F.array("q")) if step == 0 else cands, F.col("ids")).alias("cands"))
+        work = work.select("q", "qvec", least.alias("least"), F.array_except(F.array_union(cands, F.array("q")) if step == 0 else cands, F.col("ids")).alias("cands"))
         got = _scored(work, nodes, blocks).groupBy("q").agg(F.flatten(F.collect_list("ids")).alias("new"), F.flatten(F.collect_list("scores")).alias("new_scores"))
         joined = state.join(got, "q", "left").select("q", "qvec", "ids", "scores", "done", "new", "new_scores")
-        state = cut(joined.mapInArrow(advance(width), f"q long, qvec array<float>, front {LIST}, ids {LIST}, scores array<double>, done array<boolean>"))
+        state = cut_in_loop(joined.mapInArrow(advance(width), schema))
         step, width = step + 1, min(ef, 2 * width)
         if step > 2 and state.where(F.size("front") > 0).isEmpty():
             return state.select("q", "ids", "scores")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = 320, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def beam(n: int) -> int:
+    """How many of the best nodes a search keeps: 320 up to 10,000 nodes, then 160 more for each doubling."""
+    return int(320 + 160 * max(0.0, np.log2(max(1, n) / 10_000)))
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int | None = None, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by `every`, the k nearest of all other rows that were found.
 
-    Near is a large inner product in double precision; equal scores go by the smaller id. Vectors that are null, zero, or hold a
+    Near is a large inner product in double precision of the vectors as they are; equal scores go by the smaller id. The graph is
+    built on them in single precision, scaled to a largest component of one. Vectors that are null, zero, or hold a
     null or non-finite component take no part, nor do rows without an id; vectors of another length than the commonest take none
     either. Equal vectors are found together, all of them counted. Repeated rows of one id are one. Every vector is in the graph.
-    With few rows a query gets all others. An empty table gives an empty result; other columns aren't read.
+    With few rows a query gets all others. ef: nodes that a search keeps, beam(number of nodes) if not given. An empty table gives an empty result; other columns aren't read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    fine = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<float>").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
+    kind = "array<float>" if vectors.schema[vec].dataType.simpleString() == "array<float>" else "array<double>"
+    fine = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast(kind).alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
     dim = fine.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -260,11 +293,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = 320, vec
     nodes = cut(fine.groupBy("vec").agg(F.min("vec_id").alias("id")))
     rows = cut(fine.join(nodes, "vec").select("id", "vec_id").distinct())
     n = nodes.count()
-    graph = build_graph(nodes, n, dim["d"])
-    starts = [r[0] for r in nodes.orderBy(F.xxhash64(F.lit(4), "id")).select("id").limit(64).collect()]
+    scale = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
+    graph = build_graph(nodes, n, dim["d"], scale)
+    starts = [(r["id"], r["vec"]) for r in nodes.orderBy(F.xxhash64(F.lit(4), "id")).select("id", "vec").limit(64).collect()]
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = cut(nodes.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("q"), F.col("vec").alias("qvec")))
-    found = search(queries, nodes, graph, n, max(ef, k + 1), starts)
+    found = search(queries, nodes, graph, n, max(ef or beam(n), k + 1), starts)
     # The members of a node with the smallest ids; more than k + 1 of one node are never needed.
     members = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("id", "vec_id")
     top = found.select("q", F.inline(F.arrays_zip(F.slice("ids", 1, k + 1).alias("id"), F.slice("scores", 1, k + 1).alias("score"))))
