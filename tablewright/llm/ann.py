@@ -269,8 +269,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, n: int, ef: i
 
 
 def beam(n: int) -> int:
-    """How many of the best nodes a search keeps: 320 up to 10,000 nodes, then 160 more for each doubling."""
-    return int(320 + 160 * max(0.0, np.log2(max(1, n) / 10_000)))
+    """How many of the best nodes a search keeps: 320 up to 10,000 nodes, then 80 more for each doubling."""
+    return int(320 + 80 * max(0.0, np.log2(max(1, n) / 10_000)))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int | None = None, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
