@@ -31,7 +31,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 ODD_WHITE = re.compile(r"\s(?:\s|\Z)|\A\s")
 #: Marks that never join the letters before them.
 MARKS = frozenset(".,;:!?)")
-BLOCK_CHARS, CACHED = 1 << 20, 100_000
+BLOCK_CHARS, CACHED = 1 << 20, 250_000
 #: Number of ids, the ids joined by commas, the bytes that they decode to.
 Entry = tuple[int, str, bytes]
 KINDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
