@@ -41,7 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, vocabulary(), carry=("doc_id", "source"))
+    return bpe.encode_documents(docs, vocabulary(), carry=("doc_id", "source"), cached=100_000)  # workers of other stages hold memory too
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

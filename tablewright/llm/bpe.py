@@ -158,8 +158,9 @@ def decode_ids(ids: Sequence[int], t: Tables) -> bytes:
 class Coder:
     """Encodes texts and decodes them again; remembers the pieces of earlier blocks up to a bound."""
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, cached: int = CACHED):
         self.t = tables
+        self.cached = cached
         self.pattern = regex.compile(PIECES)
         self.shown = [str(i) for i in range(len(tables.token_bytes))]
         self.cut = re.compile("(" + "|".join(map(re.escape, tables.special)) + ")") if tables.special else None
@@ -220,7 +221,7 @@ class Coder:
                 if not isinstance(p, int):
                     plain.add(p[0])
                     spaced.update(p[1])
-        if len(self.plain) + len(self.spaced) > CACHED:
+        if len(self.plain) + len(self.spaced) > self.cached:
             self.plain.clear()
             self.spaced.clear()
         self._learn(plain, spaced)
@@ -238,10 +239,11 @@ class Coder:
 _CODERS: dict[str, Coder] = {}
 
 
-def _coder(tables: Tables, name: str) -> Coder:
+def _coder(tables: Tables, name: str, cached: int) -> Coder:
     if name not in _CODERS:
         _CODERS.clear()
         _CODERS[name] = Coder(tables)
+    _CODERS[name].cached = cached
     return _CODERS[name]
 
 
@@ -257,12 +259,13 @@ def _value(kind: str, entries: list[Entry]) -> object:
     return decoded if kind == "decoded" else hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), cached: int = CACHED) -> DataFrame:
     """The carried columns and, for every row, any of n_tokens, ids, ids_sha256, decoded and decoded_sha256.
 
     path: a byte-level BPE vocabulary in the JSON form of the tokenizers library, read on the driver. Special tokens that stand in
     a text are encoded as such, and none are added. decoded is what the ids decode to. A null text is encoded as an empty one: no
-    ids. Texts of any length are encoded whole; rows are worked on in blocks of about a million characters. An empty table gives
+    ids. Texts of any length are encoded whole; rows are worked on in blocks of about a million characters, and
+    a worker remembers the pieces of earlier blocks, up to about `cached` of them. An empty table gives
     an empty result. A carried column that has the name of an output is an error; other columns are not read.
     """
     if clash := set(carry) & set(outputs):
@@ -274,7 +277,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", carry: tupl
     kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(tables, name)
+        coder = _coder(tables, name, cached)
         gc.disable()  # nothing here makes cycles, and the remembered pieces are costly to look through
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

@@ -1,9 +1,9 @@
-"""Removal of byte strings that repeat anywhere in a corpus, by prefix doubling over sampled positions.
+"""Removal of byte strings that repeat anywhere in a corpus, by minimum-hash anchors; README says why not by prefix doubling.
 
 Every string of the threshold length holds a gram that has the smallest hash in it, and copies of the string hold it at the same
-place; only these positions are ranked. Their first rank names the gram. Spark groups rank pairs at growing offsets, to the right,
-around and to the left of the gram, and drops positions whose ranks have become unique; what is left is ranked by all that a string
-with this gram can hold. Positions that share this last rank repeat in full. The others of a gram are compared at every start.
+place; only these positions, the anchors, are looked at. They are grouped by fingerprints of growing strings to the right, around
+and to the left of the gram, and those that are alone are dropped; what is left is named by all that a string with this gram can
+hold. Positions of one such name repeat in full. The others of a gram are compared at every start.
 """
 
 from __future__ import annotations
