@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -40,9 +41,11 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set, as in local tests."""
+    """The folder that the cluster shares; one of our own only where none is set and all runs on this machine, as in local tests."""
     sc = spark.sparkContext
     if not (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that all of them reach")
         found = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
