@@ -33,6 +33,8 @@ LARGE = 64
 ASKERS, PLACES = 128, 1000
 #: Parts of what overlapping tiles lead to, in the last round.
 PARTS = 16
+#: Links, both ways, up to which labels spread in one task: about 4 MB.
+FEW = 250_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -395,14 +397,23 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and comp, the smallest node that links (a, b) lead to. Labels spread to neighbours and jump to their labels' labels."""
+    """node and comp, the smallest node that links (a, b) lead to. Labels spread to neighbours and jump to their labels' labels.
+
+    Up to FEW rows, the rounds run in one task each, without a shuffle; the same rounds run by shuffles beyond it.
+    """
     both = cut_in_loop(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut_in_loop(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    few = both.limit(FEW + 1).count() <= FEW
+
+    def made(rows: DataFrame) -> DataFrame:
+        return cut_in_loop(rows).coalesce(1) if few else cut_in_loop(rows)
+
+    both = made(both.coalesce(1)) if few else both
+    labels = made(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        now = cut_in_loop(spread.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")))
+        now = made(spread.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")))
         labels = now.select("node", "comp")
         if now.where(F.col("old") != F.col("comp")).isEmpty():
             return labels

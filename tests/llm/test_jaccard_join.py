@@ -105,3 +105,22 @@ def test_long_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_similar(docs, 4, 85).collect()}
     assert got == brute(texts, 4, 85)
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_components_of_few_links_without_shuffles(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few, raising=False)
+    rnd = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(50)]
+    links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+    label = {n: n for x in links for n in x}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = jaccard_join.components(spark.createDataFrame(links, "a long, b long").repartition(3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.comp for r in got.collect()} == label
+    assert got.rdd.getNumPartitions() == (1 if few else 4)
