@@ -33,7 +33,7 @@ LARGE = 64
 ASKERS, PLACES = 128, 1000
 #: Parts of what overlapping tiles lead to, in the last round.
 PARTS = 16
-#: Links, both ways, up to which labels spread in one task: about 4 MB.
+#: Links, both ways, up to which labels stand in one partition: about 4 MB.
 FEW = 250_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
@@ -399,7 +399,7 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the smallest node that links (a, b) lead to. Labels spread to neighbours and jump to their labels' labels.
 
-    Up to FEW rows, the rounds run in one task each, without a shuffle; the same rounds run by shuffles beyond it.
+    Up to FEW rows, what each round gives stands in one partition, which spares shuffles; beyond it the rounds are dealt out.
     """
     both = cut_in_loop(links.select("a", "b").union(links.select("b", "a")).distinct())
     few = both.limit(FEW + 1).count() <= FEW
